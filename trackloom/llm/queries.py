@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import bpe, mixing, quality_rules
 
 QUERIES = {
     "op8_quality_rules": quality_rules.query,
+    "op9_source_mix": mixing.query,
+    "op10_bpe_trie": bpe.query,
 }
 
 ORACLE_SQL = {
     "op8_quality_rules": quality_rules.SQL,
+    "op9_source_mix": mixing.SQL,
 }
