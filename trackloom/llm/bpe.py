@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces_by_bytes, ragged_index, read_table, span_hashes, text_buffers
+from .common import pieces_by_bytes, ragged_index, read_table, span_hashes, text_buffers, with_fields
 
 PIECE_BYTES = 2 << 20
 CACHE_WORDS = 1 << 19
@@ -312,9 +312,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, text_col: str = "
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_text"))
     extra = ([("ids", "array<int>")] if with_ids else []) + ([("decoded", "string")] if with_text else [])
     names = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *extra]
-    schema = kept.schema
-    for name, kind in names:
-        schema = schema.add(name, kind)
+    schema = with_fields(kept.schema, ", ".join(f"{name} {kind}" for name, kind in names))
 
     def run(batches):
         bpe = _tokenizer(sent.value)

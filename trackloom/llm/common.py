@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a maximal run of characters outside this class: space and the ASCII controls tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -17,6 +18,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """A schema with further fields, written as DDL, at its end."""
+    return StructType(schema.fields + StructType.fromDDL(ddl).fields)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array, null counting as an empty text."""
     spaced = F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS))
