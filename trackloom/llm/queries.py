@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality_rules
+from . import bpe, chat, mixing, pii, quality_rules
 
 QUERIES = {
+    "op1_pii": pii.query,
+    "op4_chat_format": chat.query,
     "op8_quality_rules": quality_rules.query,
     "op9_source_mix": mixing.query,
     "op10_bpe_trie": bpe.query,
 }
 
 ORACLE_SQL = {
+    "op4_chat_format": chat.SQL,
     "op8_quality_rules": quality_rules.SQL,
     "op9_source_mix": mixing.SQL,
 }
