@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, mixing, pii, quality_rules
+from . import bpe, chat, mixing, ngram_join, pii, quality_rules
 
 QUERIES = {
     "op1_pii": pii.query,
+    "op2_ngram_jaccard": ngram_join.query,
     "op4_chat_format": chat.query,
     "op8_quality_rules": quality_rules.query,
     "op9_source_mix": mixing.query,
