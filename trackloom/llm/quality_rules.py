@@ -44,7 +44,7 @@ class Rule:
 #: The method's own thresholds. They are wide: a rule is to catch rubbish, not odd prose.
 RULES = (
     Rule("word_length", "mean_word_length", 2.0, 25.0),
-    Rule("symbols", "symbols_per_word", None, 0.4),
+    Rule("symbols", "symbols_per_word", None, 0.3),
     Rule("line_copies", "dup_line_ratio", None, 0.5),
     Rule("stop_words", "stop_word_ratio", 0.01, None, min_words=100),
     Rule("letters", "letter_char_ratio", 0.5, None),
@@ -180,7 +180,7 @@ b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_fail
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed
   and word_chars / n_words between 2.0 and 25.0
-  and n_symbols / n_words <= 0.4
+  and n_symbols / n_words <= 0.3
   and n_dup_lines / n_lines <= 0.5
   and (n_words < 100 or stops / n_words >= 0.01)
   and (word_chars - n_non) / word_chars >= 0.5
