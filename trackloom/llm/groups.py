@@ -2,8 +2,8 @@
 
 Items come as members of groups (lists). In rounds, each group gives a spanning forest of the likeliest pairs between its
 components, and these are verified; a group wider than a block is split into blocks, each component of which one member
-stands for in the next round. Last, all pairs between components that are still apart and that pass the caller's filter
-are verified. So a group of near copies costs about as many verifications as it has members, and no link that would join
+stands for in the next round. Last, for lists with further pairs that pass the caller's filter, those between components that are
+still apart are verified. So a group of near copies costs about as many verifications as it has members, and no link that would join
 two components is lost.
 """
 
@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from .common import cut_lineage
 from .components import connected
 
-BLOCK = 1024
+BLOCK = 512
 
 
 def _pairs(members: DataFrame, payload: list[str], arrange: Callable, passing: Callable, exhaustive: bool) -> DataFrame:
-    """Pairs (a, b) to verify of each (list, block). `arrange` gives a row's sort key; `passing` takes the sorted payload columns and
+    """(list, a, b): pairs to verify of each (list, block), and for a list with more pairs that pass, held back, a row without a and b. `arrange` gives a row's sort key; `passing` takes the sorted payload columns and
     yields (i, later rows that may be linked with i, how far each is from i)."""
     import pyarrow as pa
 
@@ -43,6 +43,7 @@ def _pairs(members: DataFrame, payload: list[str], arrange: Callable, passing: C
         found = [(np.full(len(js), i), js, d) for i, js, d in passing(*own)]
         if not found:
             return
+        held_back = 0
         i, j, d = map(np.concatenate, zip(*found))
         root = {x: x for x in comp}
 
@@ -54,37 +55,43 @@ def _pairs(members: DataFrame, payload: list[str], arrange: Callable, passing: C
 
         left = len(root)
         for k in np.argsort(d, kind="stable").tolist():
+            if comp[i[k]] == comp[j[k]]:
+                continue
             a, b = find(comp[i[k]]), find(comp[j[k]])
             if a != b:
                 root[max(a, b)] = min(a, b)
                 yield ids[i[k]], ids[j[k]]
                 left -= 1
-                if left == 1:
-                    return
+            else:
+                held_back += 1
+            if left == 1 and held_back:
+                break
+        if held_back:
+            yield None, None
 
     def run(batches):
         last, rows, out = None, [], []
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], ["list", "a", "b"])
 
         for batch in batches:
             for group, block, *row in zip(*[batch.column(k).to_pylist() for k in range(batch.num_columns)]):
                 if (group, block) != last and rows:
-                    out += of_group(rows)
+                    out += [(last[0], *x) for x in of_group(rows)]
                     rows = []
                 last = (group, block)
                 rows.append(row)
             if out:
                 yield flush()
                 out = []
-        out = list(of_group(rows)) if rows else []
+        out = [(last[0], *x) for x in of_group(rows)] if rows else []
         if out:
             yield flush()
 
     grouped = members.select("list", "block", "id", "comp", "part", *payload).repartition("list", "block").sortWithinPartitions("list", "block")
-    pairs = grouped.mapInArrow(run, "a bigint, b bigint")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = grouped.mapInArrow(run, "list bigint, a bigint, b bigint")
+    return pairs.select("list", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def links_of_groups(members: DataFrame, payload: list[str], arrange: Callable, passing: Callable, verify: Callable[[DataFrame], DataFrame], block: int = 0) -> DataFrame | None:
@@ -94,16 +101,19 @@ def links_of_groups(members: DataFrame, payload: list[str], arrange: Callable, p
     """
     block = block or BLOCK
     widest = members.agg(F.coalesce(F.max("m"), F.lit(0))).first()[0]
-    links, tested = None, None
+    links, tested, more = None, None, members.filter(F.col("m") > block).select("list")
 
     def with_components() -> DataFrame:
         if links is None:
             return members.withColumn("comp", F.col("id"))
         return members.join(connected(links).withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
 
-    def add(pairs: DataFrame) -> None:
-        nonlocal links, tested
-        pairs = cut_lineage(pairs)
+    def add(proposed: DataFrame, proven: DataFrame | None = None) -> None:
+        nonlocal links, tested, more
+        proposed = cut_lineage(proposed)
+        more = more.unionByName(proposed.filter("a is null").select("list"))
+        pairs = proposed.filter("a is not null").select("a", "b").distinct()
+        pairs = cut_lineage(pairs if proven is None else pairs.join(proven, ["a", "b"], "left_anti"))
         good = verify(pairs)
         links = good if links is None else links.unionByName(good)
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -120,10 +130,10 @@ def links_of_groups(members: DataFrame, payload: list[str], arrange: Callable, p
     held = with_components()
     apart = held.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("list")
     parts = F.ceil(F.col("m") / (2 * block))
-    held = held.join(apart, "list", "left_semi").withColumn("part", F.pmod(F.xxhash64("id"), parts))
+    held = held.join(apart.join(more.distinct(), "list", "left_semi"), "list", "left_semi").withColumn("part", F.pmod(F.xxhash64("id"), parts))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     held = held.withColumn("block", F.least("part", "other") * (1 << 31) + F.greatest("part", "other"))
-    add(_pairs(held, payload, arrange, passing, True).join(tested, ["a", "b"], "left_anti"))
+    add(_pairs(held, payload, arrange, passing, True), tested)
     return links
 
 

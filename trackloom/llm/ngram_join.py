@@ -6,8 +6,8 @@ under every total order of all shingles, one of the first `n - ceil(t n) + 1` sh
 1. Equal sets become one class.
 2. Under the first order, which puts frequent shingles last, each class gives its prefix; classes that share a prefix
    shingle form a list, and equal lists count once.
-3. Within a list, pairs are held against the size bound and a bound on the symmetric difference from parity bitmaps, of 4
-   bits a shingle (neither ever drops a link). The pairs that pass are reduced to a spanning forest of the likeliest ones.
+3. Within a list, pairs are held against the size bound and a bound on the symmetric difference from parity bitmaps, of 1
+   to 2 bits a shingle (neither ever drops a link). The pairs that pass are reduced to a spanning forest of the likeliest ones.
 4. A pair of the forest must also share prefix shingles under further orders; the filters are intersected. What is left is
    verified on the whole sets.
 5. Links found join classes to components. Last, every pair of a list whose ends are still in different components and
@@ -38,9 +38,9 @@ from .groups import filter_place, links_of_groups, wanted, wanted_bits
 
 WORDS = 5
 SIMILAR, OUT_OF = 80, 100
-CHUNK_TOKENS = 1 << 22
-HOT_LOCAL = 4
-HOT_LEAST = 64
+CHUNK_TOKENS = 1 << 23
+HOT_LOCAL = 2
+HOT_LEAST = 32
 HOT_TOKENS = 1 << 18
 ORDERS = 3
 BUCKET_TOKENS = 1 << 21
@@ -102,8 +102,8 @@ def needed_prefix(n: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
 
 
 def _bits(n: np.ndarray) -> np.ndarray:
-    """Bits of the parity bitmap of a set of n: the least power of two from 4 n up, 64 at least."""
-    return 1 << np.ceil(np.log2(np.maximum(64, 4 * n))).astype(np.int64)
+    """Bits of the parity bitmap of a set of n: the least power of two from n up, 64 at least."""
+    return 1 << np.ceil(np.log2(np.maximum(64, n))).astype(np.int64)
 
 
 def _pieces(batches, column: int):
