@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, line_dedup, mixing, ngram_join, pii, quality_qda, quality_rules
+from . import ann, bpe, chat, html_text, line_dedup, mixing, ngram_join, pii, quality_qda, quality_rules
 
 QUERIES = {
     "op1_pii": pii.query,
     "op2_ngram_jaccard": ngram_join.query,
     "op3_quality_qda": quality_qda.query,
     "op4_chat_format": chat.query,
+    "op5_html_text": html_text.query,
     "op6_line_dedup": line_dedup.query,
     "op7_adaptive_scan": ann.query,
     "op8_quality_rules": quality_rules.query,
