@@ -186,7 +186,17 @@ class Page:
                 best, found = total, (start, i + 1)
         return found
 
-    def _holds(self, container: int) -> list[int]:
+    def _sums(self) -> list[int]:
+        """For each container the words in it that may be content, inner containers included."""
+        sums = [0] * len(self.container_tags)
+        for holder, count, never in zip(self.holders, self.counts, self.never):
+            if not never:
+                sums[holder] += count
+        for c in range(len(sums) - 1, 0, -1):  # a container comes after the one it is in
+            sums[self.container_parents[c]] += sums[c]
+        return sums
+
+    def _inside(self, container: int) -> list[int]:
         """Tokens inside a container."""
         inside = [False] * len(self.container_tags)
         inside[container] = True
@@ -214,14 +224,14 @@ class Page:
         words = sum(self.counts[i] for i in picked)
         tokens = None
         if named:
-            tokens = self._holds(named[-1] if self.container_tags[named[-1]] == "article" else named[0])
+            tokens = self._inside(named[-1] if self.container_tags[named[-1]] == "article" else named[0])
         else:
+            sums, widest = self._sums(), None
             for c in shared[::-1]:
-                inside = self._holds(c)
-                if words >= MOSTLY * sum(self.counts[i] for i in inside if not self.never[i]):
-                    tokens = inside
-                else:
+                if words < MOSTLY * sums[c]:
                     break
+                widest = c
+            tokens = self._inside(widest) if widest is not None else None
         if tokens is None:
             first, last = self.blocks[picked[0]], self.blocks[picked[-1]]
             tokens = [i for i in range(len(self.kinds)) if first <= self.blocks[i] <= last]
