@@ -146,7 +146,9 @@ def judge(docs: DataFrame, rules=RULES, text_col: str = "text", keep: tuple[str,
 def keep_good(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
     """The documents that no rule rejects, with their own columns only."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{text_col}`").alias("_text"))
-    return judge(whole, rules, "_text", ("_doc",)).filter("kept").select("_doc.*")
+    judged = judge(whole, rules, "_text", ("_doc",)).select("_doc", "kept", F.monotonically_increasing_id().alias("_row"))
+    # the row number keeps the filter above the projection: pushed down, it would hold all measures several times over
+    return judged.filter((F.col("_row") >= 0) & F.col("kept")).select("_doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
