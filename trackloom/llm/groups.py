@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, mix64
 from .components import connected
 
 BLOCK = 512
@@ -141,19 +141,26 @@ def links_of_groups(members: DataFrame, payload: list[str], arrange: Callable, p
 FILTER_WORDS = 1 << 18
 
 
-def filter_place(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_WORDS * 64))
-
-
 def wanted_bits(ids: DataFrame) -> np.ndarray:
     """The filter's words for a table of ids (column id). Its size is fixed; with very many ids it lets more through."""
-    words = ids.select(filter_place("id").alias("p")).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
-    rows = words.collect()
-    bits = np.zeros(FILTER_WORDS, np.int64)
-    if rows:
-        bits[[r["w"] for r in rows]] = [r["bits"] for r in rows]
-    return bits.view(np.uint64)
-
+    import pyarrow as pa
 
-def wanted(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return ((bits[places // 64] >> (places % 64).astype(np.uint64)) & np.uint64(1)).astype(bool)
+    def places(batches):
+        for batch in batches:
+            place = np.unique(mix64(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(FILTER_WORDS * 64))
+            word = (place >> np.uint64(6)).astype(np.int64)
+            if len(word):
+                edge = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), edge)
+                yield pa.RecordBatch.from_arrays([pa.array(word[edge]), pa.array(bits.view(np.int64))], ["w", "bits"])
+
+    rows = ids.select("id").mapInArrow(places, "w bigint, bits bigint").groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_WORDS, np.uint64)
+    bits[rows.column("w").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return bits
+
+
+def wanted_hashes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of the ids (64-bit) may be among those that the filter was made of."""
+    place = mix64(ids.view(np.uint64)) % np.uint64(FILTER_WORDS * 64)
+    return ((bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)

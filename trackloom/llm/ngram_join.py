@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, drop_written, mix64, pieces_by_bytes, ragged_index, read_table, span_hashes, text_buffers
 from .components import connected
-from .groups import filter_place, links_of_groups, wanted, wanted_bits
+from .groups import links_of_groups, wanted_bits, wanted_hashes
 
 WORDS = 5
 SIMILAR, OUT_OF = 80, 100
@@ -295,7 +295,7 @@ def _verified(docs: DataFrame, text_col: str, words: int, similar: int, pairs: D
 
     def sets(batches):
         for batch in batches:
-            here = wanted(bits.value, batch.column(2).to_numpy(zero_copy_only=False))
+            here = wanted_hashes(bits.value, batch.column(0).to_numpy(zero_copy_only=False))
             for rows, data, offsets in _pieces([batch.filter(pa.array(here))], 1):
                 tokens, n = shingle_sets(data, offsets, words)
                 raw, cuts = tokens.tobytes(), (8 * np.append(0, np.cumsum(n))).tolist()
@@ -321,7 +321,7 @@ def _verified(docs: DataFrame, text_col: str, words: int, similar: int, pairs: D
                 keep.append(ok)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    source = _texts(docs, text_col).filter("doc_id is not null").withColumn("_place", filter_place("doc_id"))
+    source = _texts(docs, text_col).filter("doc_id is not null")
     found = source.mapInArrow(sets, "id bigint, tokens binary").dropDuplicates(["id"]).join(ends, "id", "left_semi")
     found = cut_lineage(found)
     joined = pairs.join(found.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
