@@ -29,9 +29,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces_by_bytes, ragged_index, read_table, span_hashes, text_buffers, with_fields
+from .common import bound_batches, pieces_by_bytes, ragged_index, read_table, span_hashes, text_buffers, with_fields
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 CACHE_WORDS = 1 << 19
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
@@ -306,6 +306,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, text_col: str = "
     """`keep` columns, n_tokens, ids_sha256, decoded_sha256, and where asked for the ids and the decoded text."""
     import pyarrow as pa
 
+    bound_batches(docs.sparkSession)
     with open(path or default_path(), "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])

@@ -29,6 +29,20 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
+#: Bytes and rows of an Arrow batch of documents. Texts are long, so that Spark's default of 10,000 rows may be tens of MB,
+#: which then lie in the JVM, in its direct memory and in the Python worker at once.
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole texts small, for this session from now on; smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = spark.conf.get(key, None)
+        if now is None or not str(now).isdigit() or int(now) > most or int(now) <= 0:
+            spark.conf.set(key, str(most))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that every executor sees: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

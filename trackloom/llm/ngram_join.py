@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, drop_written, mix64, pieces_by_bytes, ragged_index, read_table, span_hashes, text_buffers
+from .common import bound_batches, cut_lineage, drop_written, mix64, pieces_by_bytes, ragged_index, read_table, span_hashes, text_buffers
 from .components import connected
 from .groups import links_of_groups, wanted_bits, wanted_hashes
 
@@ -45,7 +45,7 @@ HOT_TOKENS = 1 << 18
 ORDERS = 3
 BUCKET_TOKENS = 1 << 21
 LEAST_BUCKETS = 1024
-_PIECE = 4 << 20
+_PIECE = 1 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -331,6 +331,7 @@ def _verified(docs: DataFrame, text_col: str, words: int, similar: int, pairs: D
 def similar_documents(docs: DataFrame, text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of `docs`."""
     spark = docs.sparkSession
+    bound_batches(spark)
     summaries = cut_lineage(_summaries(docs, text_col, words))
     own = summaries.filter("n is not null").drop("tokens", "counts")
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

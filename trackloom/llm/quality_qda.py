@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, mix64, pieces_by_bytes, read_table, text_buffers
+from .common import bound_batches, cut_lineage, mix64, pieces_by_bytes, read_table, text_buffers
 from .ngram_join import word_hashes
 
 SHRINKAGE = (0.02, 0.1, 0.3, 0.6)
@@ -31,7 +31,7 @@ RIDGE = 0.02
 TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0)
 ACCEPT = 0.7
 HELD_OUT, TUNING = 2, 3
-_PIECE = 2 << 20
+_PIECE = 1 << 20
 
 FEATURES = (
     "log_words", "log_word_length", "adjacent_repeats", "other_words", "repeated_pairs", "upper_share", "symbol_share",
@@ -101,6 +101,8 @@ def feature_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, x (array of FEATURES), fold (crc32 of doc_id as text, mod 4)."""
     import pyarrow as pa
 
+    bound_batches(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
