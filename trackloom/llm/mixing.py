@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, words_of
+from .common import cut_lineage, read_table, words_of
 
 MOST_PASSES = 3
 WEIGHT_CYCLE = 3
@@ -112,9 +112,10 @@ def schedule(sources: DataFrame, slots: int = SLOTS) -> DataFrame:
 def _placed(docs: DataFrame, seed: str, slots: int, text_col: str, source_col: str):
     """(documents with their place in the source's token stream and the source's target, slots)."""
     rows = _numbered(docs, seed, text_col, source_col, [F.col("doc_id")])
-    by_bucket = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("size"))
-    sources = source_targets(by_bucket)
-    plan = schedule(sources, slots)
+    # small tables (a row a source and hash range, a source, a slot), each written once, so that plans stay short
+    by_bucket = cut_lineage(rows.groupBy("skey", "bucket").agg(F.sum("size").alias("size")))
+    sources = cut_lineage(source_targets(by_bucket))
+    plan = cut_lineage(schedule(sources, slots))
     in_source = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_bucket.withColumn("offset", F.coalesce(F.sum("size").over(in_source), F.lit(0).cast("long"))).drop("size")
     blocks = plan.groupBy("skey").agg(F.max("block").alias("block"))
