@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, drop_written
@@ -22,9 +22,12 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a > b").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.bit_xor(F.xxhash64("b", "a")).alias("y")).first()
-    return tuple(row)
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, and what tells them from others: their number and two sums of hashes, taken while writing."""
+    seen = Observation()
+    sums = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b") % (1 << 30)), F.lit(0)).alias("x"), F.coalesce(F.sum(F.xxhash64("b", "a") % (1 << 30)), F.lit(0)).alias("y")]
+    out = cut_lineage(edges.observe(seen, *sums))
+    return out, (seen.get["n"], seen.get["x"], seen.get["y"])
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -32,11 +35,9 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Self-loops, repeated and reversed edges and an empty table are fine. Each round is written to the shared folder.
     """
-    current = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = _state(current)
+    current, state = _written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while state[0]:
-        step = cut_lineage(_stars(_stars(current, True), False))
-        new = _state(step)
+        step, new = _written(_stars(_stars(current, True), False))
         drop_written(current.sparkSession, current)
         current = step
         if new == state:

@@ -94,29 +94,33 @@ def _pairs(members: DataFrame, payload: list[str], arrange: Callable, passing: C
     return pairs.select("list", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def links_of_groups(members: DataFrame, payload: list[str], arrange: Callable, passing: Callable, verify: Callable[[DataFrame], DataFrame], block: int = 0) -> DataFrame | None:
-    """Verified links (a, b) that have the components of all links among the members.
+def components_of_groups(members: DataFrame, payload: list[str], arrange: Callable, passing: Callable, verify: Callable[[DataFrame], DataFrame], block: int = 0) -> DataFrame | None:
+    """(id, component) of all members that are linked with another, by the components of all links; None without groups.
 
     members: list, m (its width), id and the payload. verify: takes a table of pairs, returns the linked ones (both written).
     """
     block = block or BLOCK
     widest = members.agg(F.coalesce(F.max("m"), F.lit(0))).first()[0]
     links, tested, more = None, None, members.filter(F.col("m") > block).select("list")
+    labels = None
 
     def with_components() -> DataFrame:
-        if links is None:
+        if labels is None:
             return members.withColumn("comp", F.col("id"))
-        return members.join(connected(links).withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        return members.join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
 
     def add(proposed: DataFrame, proven: DataFrame | None = None) -> None:
-        nonlocal links, tested, more
+        nonlocal links, tested, more, labels
         proposed = cut_lineage(proposed)
         more = more.unionByName(proposed.filter("a is null").select("list"))
         pairs = proposed.filter("a is not null").select("a", "b").distinct()
         pairs = cut_lineage(pairs if proven is None else pairs.join(proven, ["a", "b"], "left_anti"))
         good = verify(pairs)
-        links = good if links is None else links.unionByName(good)
         tested = pairs if tested is None else tested.unionByName(pairs)
+        if labels is not None and good.isEmpty():
+            return
+        links = good if links is None else links.unionByName(good)
+        labels = connected(links).withColumnRenamed("node", "id")
 
     while widest > 1:
         held = with_components()
@@ -125,7 +129,7 @@ def links_of_groups(members: DataFrame, payload: list[str], arrange: Callable, p
         parts = F.least(F.ceil(F.lit(widest / block)), F.ceil(F.col("m") / block))
         add(_pairs(held.withColumn("block", F.pmod(F.xxhash64("comp"), parts)).withColumn("part", F.lit(0)), payload, arrange, passing, False))
         widest = widest // block if widest > block else 0
-    if links is None:
+    if labels is None:
         return None
     held = with_components()
     apart = held.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("list")
@@ -134,7 +138,7 @@ def links_of_groups(members: DataFrame, payload: list[str], arrange: Callable, p
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     held = held.withColumn("block", F.least("part", "other") * (1 << 31) + F.greatest("part", "other"))
     add(_pairs(held, payload, arrange, passing, True), tested)
-    return links
+    return labels
 
 
 #: A bit filter that tells which ids are certainly not wanted: words of 64 bits, 2 MB in all.

@@ -5,7 +5,7 @@ under every total order of all shingles, one of the first `n - ceil(t n) + 1` sh
 
 1. Equal sets become one class.
 2. Under the first order, which puts frequent shingles last, each class gives its prefix; classes that share a prefix
-   shingle form a list, and equal lists count once.
+   shingle, and may be linked by their sizes and its places in the two orders, form a list, and equal lists count once.
 3. Within a list, pairs are held against the size bound and a bound on the symmetric difference from parity bitmaps, of 1
    to 2 bits a shingle (neither ever drops a link). The pairs that pass are reduced to a spanning forest of the likeliest ones.
 4. A pair of the forest must also share prefix shingles under further orders; the filters are intersected. What is left is
@@ -33,8 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, cut_lineage, drop_written, mix64, pieces_by_bytes, ragged_index, read_table, span_hashes, text_buffers
-from .components import connected
-from .groups import links_of_groups, wanted_bits, wanted_hashes
+from .groups import components_of_groups, wanted_bits, wanted_hashes
 
 WORDS = 5
 SIMILAR, OUT_OF = 80, 100
@@ -45,6 +44,7 @@ HOT_TOKENS = 1 << 18
 ORDERS = 3
 BUCKET_TOKENS = 1 << 21
 LEAST_BUCKETS = 1024
+WIDE = 4096
 _PIECE = 1 << 20
 
 _BLANK = np.zeros(256, bool)
@@ -187,6 +187,27 @@ def _order_key(tokens: np.ndarray, hot: np.ndarray, which: int) -> np.ndarray:
     return key
 
 
+def _met(token: np.ndarray, size: np.ndarray, place: np.ndarray, similar: int) -> np.ndarray:
+    """Which rows (sorted by token) have another of their token that they may be linked with.
+
+    Of a linked pair's shared prefix shingles look at the first one: what stands before it in either set's order is not shared, so the
+    intersection has at most the lesser of what is left of the two sets. Very wide tokens are kept whole.
+    """
+    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    width = np.diff(np.append(starts, len(token)))
+    met = np.repeat(width > WIDE, width)
+    at, gap = np.flatnonzero(~met), 1
+    while True:
+        at = at[at + gap < len(token)]
+        at = at[token[at + gap] == token[at]]
+        if not len(at):
+            return met
+        both, left = size[at] + size[at + gap], np.minimum(size[at] - place[at], size[at + gap] - place[at + gap])
+        near = at[OUT_OF * left >= similar * (both - left)]
+        met[near] = met[near + gap] = True
+        gap += 1
+
+
 def _lists(docs: DataFrame, text_col: str, words: int, similar: int, sent_hot, buckets: int) -> DataFrame:
     """Distinct lists of two or more classes (by first set hash) that share a prefix shingle under the first order."""
     import pyarrow as pa
@@ -203,24 +224,31 @@ def _lists(docs: DataFrame, text_col: str, words: int, similar: int, sent_hot, b
             order = np.lexsort((_order_key(tokens, sent_hot.value, 0), row))
             place = np.arange(len(tokens)) - edges[row]
             chosen = order[place < needed_prefix(n, similar)[row]]
-            pairs = np.empty((len(chosen), 2), np.uint64)
+            chosen_place = place[place < needed_prefix(n, similar)[row]]
+            pairs = np.empty((len(chosen), 3), np.uint64)
             pairs[:, 0], pairs[:, 1] = tokens[chosen], f1[row[chosen]]
+            pairs[:, 2] = n[row[chosen]].astype(np.uint64) << np.uint64(32) | chosen_place.astype(np.uint64)
             bucket = (mix64(pairs[:, 0] + _SALTS[60]) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((pairs[:, 1], pairs[:, 0], bucket))
             pairs, bucket = pairs[order], bucket[order]
             fresh = np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))
             pairs, bucket = pairs[fresh], bucket[fresh]
             edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            cuts = (16 * np.append(edge, len(bucket))).tolist()
+            cuts = (24 * np.append(edge, len(bucket))).tolist()
             raw = pairs.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int32)), pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())], ["bucket", "pairs"])
 
     def of_bucket(raws):
-        pairs = np.frombuffer(b"".join(raws), np.uint64).reshape(-1, 2)
+        pairs = np.frombuffer(b"".join(raws), np.uint64).reshape(-1, 3)
         order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        token, member = pairs[order, 0], pairs[order, 1]
+        token, member, size_place = pairs[order].T
         fresh = np.append(True, (token[1:] != token[:-1]) | (member[1:] != member[:-1]))
         token, member = token[fresh], member[fresh]
+        size, place = (size_place[fresh] >> np.uint64(32)).astype(np.int64), (size_place[fresh] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        kept = _met(token, size, place, similar)
+        token, member = token[kept], member[kept]
+        if not len(token):
+            return None
         starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         sizes = np.diff(np.append(starts, len(token)))
         many = sizes > 1
@@ -350,9 +378,8 @@ def similar_documents(docs: DataFrame, text_col: str = "text", words: int = WORD
         drop_written(spark, sets)
         return good
 
-    links = links_of_groups(members, ["n", "bitmap"], lambda n, bitmap: n, lambda n, maps: _passing(np.array(n, np.int64), maps, similar), verify)
-    if links is not None:
-        found = connected(links).withColumnRenamed("node", "id")
+    found = components_of_groups(members, ["n", "bitmap"], lambda n, bitmap: n, lambda n, maps: _passing(np.array(n, np.int64), maps, similar), verify)
+    if found is not None:
         classes = classes.join(found, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
     else:
         classes = classes.withColumn("component_id", F.col("id"))
