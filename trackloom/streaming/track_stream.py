@@ -45,7 +45,11 @@ class TrackFilter(StatefulProcessor):
         due = [r for r in rows if r[at].timestamp() * 1000 < until]
         if not due:
             return
-        self.waiting.put([r for r in rows if r[at].timestamp() * 1000 >= until])
+        later = [r for r in rows if r[at].timestamp() * 1000 >= until]
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
         held = self.state.get() if self.state.exists() else None
         state = TrackState(*held) if held else None
         t, frame, tie = (_NAMES.index(c) for c in ("query_time_s", "frame", "tie"))
