@@ -55,8 +55,7 @@ def near_copies(rng, n_groups=12, passage=True):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("block", [512, 8])
+@pytest.mark.parametrize("seed, block", [(1, 512), (2, 8)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, block):
     monkeypatch.setattr(groups, "BLOCK", block)
     rows = near_copies(random.Random(seed)) + [(9000, None), (9001, ""), (9002, " \n"), (9003, "one two"), (9004, "ONE two")]
@@ -135,7 +134,7 @@ def line_corpus(rng):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_line_dedup_equals_brute_force(spark, seed):
     rows = line_corpus(random.Random(seed)) + [(900, None), (901, ""), (902, "\n \nshort line\nshort line\n")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, lines string")
@@ -327,7 +326,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     from trackloom.llm import bpe, quality_rules
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = {r.doc_id for r in quality_rules.judge(docs).filter("kept").collect()}
+    kept = {r.doc_id for r in quality_rules.judge(docs).select("doc_id", "kept").collect() if r.kept}
     rows = sorted((r.doc_id, r.text, r.source) for r in docs.collect() if r.doc_id in kept)
     drop = brute_lines([(d, t) for d, t, _ in rows])
     left = []
