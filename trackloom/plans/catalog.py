@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, scalars
 from ..operators import joins, merge, repair, retrieval, stats, track, windows
 from ..sources import frame_lists, kml
+from . import pipelines
 from .views import PREDICTIONS_SQL, haversine_sql, predictions, table
 
 QUERIES: dict = {}
@@ -847,3 +848,44 @@ def kml_paths(spark, sf_dir):
 def numbered_points(spark, sf_dir):
     p = predictions(spark, sf_dir).filter("event_type = 'signup'")
     return kml.numbered_points(p, ["track", "frame"]).select("frame", "number", "label")
+
+
+# -- the entry points ----------------------------------------------------------------------------------------------------
+
+
+@query("reference_index")
+def reference_index(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    frames = p.select(F.col("track").cast("string").alias("flight_id"), F.col("frame").alias("frame_index"), F.col("query_time_s").alias("video_time_s"), "latitude", "longitude", F.col("inliers").cast("double").alias("rel_alt"))
+    return pipelines.build_reference_index(frames, 45.0, default_altitude=80.0)
+
+
+@query("localize_tracks")
+def localize_tracks(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("descriptor"))
+    lat, lon = F.lit(32.10) + F.lit(0.005) * F.sin(F.col("vec_id") * F.lit(1.7)), F.lit(35.20) + F.lit(0.005) * F.cos(F.col("vec_id") * F.lit(2.3))
+    index = e.select(F.col("vec_id").alias("ref_index"), "descriptor", (F.col("vec_id") % 3).cast("string").alias("flight_id"), lat.alias("center_lat"), lon.alias("center_lon"), lat.alias("drone_lat"), lon.alias("drone_lon"))
+    queries = e.filter("vec_id % 10 = 0").select((F.col("vec_id") % 4).alias("track"), F.col("vec_id").alias("frame"), F.col("vec_id").cast("double").alias("query_time_s"), F.lit(1.0).alias("query_scale"), "descriptor")
+    pairs = queries.select("track", "frame").join(index.select("ref_index", (F.floor(F.col("ref_index") / 10) * 10).alias("frame")), "frame")
+    inliers = (F.col("ref_index") % 40).cast("long")
+    scores = pairs.select(
+        "track", "frame", "ref_index", F.lit(True).alias("found"), (inliers * 2).alias("good"), inliers.alias("inliers"), (inliers / 40.0).alias("ratio"), F.lit(30.0).alias("mean_distance"),
+        F.lit(True).alias("center_inside"), F.lit(True).alias("quad_valid"), F.lit(0.1).alias("quad_area"), F.lit(0.1).alias("ref_area"), F.lit(0.3).alias("ref_width"), F.lit(0.3).alias("ref_height"), F.lit(0.1).alias("query_area"),
+    )
+    return pipelines.localize(queries, index, scores, 5)
+
+
+def _plan(spark, sf_dir):
+    p = scored(spark, sf_dir).select("track", "frame", "query_time_s", "latitude", "longitude", "accepted", "confidence", "anchor")
+    reference = p.filter("frame % 3 = 0").select(F.col("frame").alias("ref_index"), "latitude", "longitude")
+    return p, *pipelines.repair_plan(p, reference, ORIGIN)
+
+
+@query("repair_plan")
+def repair_plan(spark, sf_dir):
+    return _plan(spark, sf_dir)[1].select("track", "frame", "seed_trusted", "seed_reason", "tail_rescued", "expected_method", "will_rerun", "path_window_id")
+
+
+@query("repair_windows")
+def repair_windows(spark, sf_dir):
+    return _plan(spark, sf_dir)[2]
