@@ -41,7 +41,7 @@ def thumbnail(grid: int = 16, bins: int = 8, cells: int = 4) -> Producer:
     directions by cell, each part centred or normalised, the whole of length one. Null or empty pictures give null."""
 
     def describe(picture) -> list[float] | None:
-        if picture is None or not picture["pixels"] or len(picture["pixels"]) != picture["width"] * picture["height"]:
+        if picture is None or picture["pixels"] is None or not len(picture["pixels"]) or len(picture["pixels"]) != picture["width"] * picture["height"]:
             return None
         image = np.asarray(picture["pixels"], float).reshape(picture["height"], picture["width"])
         rows, cols = (np.linspace(0, n, grid + 1).astype(int) for n in image.shape)
@@ -61,11 +61,11 @@ def thumbnail(grid: int = 16, bins: int = 8, cells: int = 4) -> Producer:
     def run(df: DataFrame, picture: str, out: str) -> DataFrame:
         import pandas as pd
 
-        @F.pandas_udf("array<float>")
-        def descriptor(pictures: pd.DataFrame) -> pd.Series:
+        def descriptor(pictures):
             return pd.Series([describe(p) for p in pictures.to_dict("records")])
 
-        return df.withColumn(out, descriptor(F.col(picture)))
+        descriptor.__annotations__ = {"pictures": pd.DataFrame, "return": pd.Series}  # pandas is imported here only
+        return df.withColumn(out, F.pandas_udf("array<float>")(descriptor)(F.col(picture)))
 
     return run
 
