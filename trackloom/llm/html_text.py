@@ -43,8 +43,8 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
-_MARKS = re.compile(r"(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+_NO_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
 
 #: Elements without content of their own, elements that break the flow of text, elements that are never
 #: content, and words in class, id or role that mark such parts.
@@ -64,9 +64,30 @@ MARKED = frozenset(
 )
 SPARED = frozenset("html body main article".split())
 COMMENTS = frozenset("comment comments commentlist reply replies respond responses ad ads advert promo related".split())
+#: Words that may stand beside those in one class or id, as in site-footer.
+BESIDE = frozenset("site page global left right top bottom box bar block list area wrapper wrap container inner section widget primary secondary main".split())
+#: Text blocks, whose class or id names what they say.
+UNMARKED = frozenset("p h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main div section td body html center blockquote".split())
 
 
+def _never_content(tag: str, attrs: str) -> bool:
+    """Whether an element's attributes mark it as hidden, or name it as a whole as a part that is never content."""
+    if tag in ("html", "body"):
+        return False
+    words = COMMENTS if tag in SPARED else MARKED
+    for name, *values in _ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), "".join(values).lower()
+        if tag not in SPARED and (name == "hidden" or name == "aria-hidden" and value.strip() == "true" or name == "style" and _NO_DISPLAY.search(value)):
+            return True
+        if tag not in UNMARKED and name in ("class", "id", "role", "aria-label"):
+            for token in [value] if name == "aria-label" else value.split():
+                parts = {x for x in re.split(r"[^a-z0-9]+", token) if x}
+                if parts & words and parts <= words | BESIDE:
+                    return True
+    return False
+
+
 class Page:
     """The tokens of a page. kind: +1 words, -1 a tag. Of words: text, count, whether in a link or in a part that is never
     content, the block they belong to and the path of open containers."""
@@ -150,8 +171,7 @@ class Page:
                         break
             never = tag in NEVER
             if attrs and not never:
-                marks = {w for a in _MARKS.findall(attrs) for w in re.split(r"[^a-z0-9]+", "".join(a).lower())}
-                never = bool(marks & (COMMENTS if tag in SPARED else MARKED)) and tag not in ("html", "body") or bool(_HIDDEN.search(attrs))
+                never = _never_content(tag, attrs)
             if tag == "header" and not (open_tags["article"] or open_tags["main"]):
                 never = True
             container = tag in CONTAINERS
