@@ -132,6 +132,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
 
     spark = vectors.sparkSession
     rows, dim = usable(vectors, id_col, vector_col)
+    rows = rows.dropDuplicates(["id", "v"])  # else copies take places among the k best of a list
     if not dim:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     total = rows.count()
