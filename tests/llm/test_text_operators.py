@@ -114,6 +114,121 @@ def test_added_spans(spark):
     assert "[EMAIL]" in row.redacted and "4524132264652876" not in row.redacted and "order 123-456 of version 1.2" in row.redacted
 
 
+def test_calibration_finds_the_least_certain_score():
+    rng = np.random.default_rng(2)
+    scores = rng.random(20_000)
+    truth = (rng.random(20_000) < scores**2).astype(float)
+    assert abs(pii.least_certain(scores, truth, 0.6) - 0.6**0.5) < 0.03
+    assert pii.least_certain(scores, np.zeros(20_000), 0.6) == 2.0 and pii.least_certain(scores[:0], truth[:0], 0.6) == 2.0
+
+
+def other_data(rng):
+    """Text of another make than the training examples: (text, kind, span) of personal data, or (text, None, None)."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    w = lambda: "".join(rng.choice("bdfgklmnprstvaeiou") for _ in range(rng.randint(3, 9)))
+    kind = rng.randrange(5)
+    if kind == 0:
+        span = rng.choice([f"{w()}.{w()} at {w()} dot {w()} dot org", f"{w()}[at]{w()}[dot]net", f"{w()}{d(2)} (at) {w()} (dot) com"])
+        return f"Please write to {span} if {w()}", 0, span
+    if kind == 1:
+        span = rng.choice([".", "[.]", "(.)"]).join(str(rng.randrange(256)) for _ in range(4)).replace(".", "[.]", 1).replace("[[.]]", "[.]").replace("([.])", "(.)")
+        return f"the server {span} was {w()}", 1, span
+    if kind == 2:
+        body = rng.choice("45") + d(14)
+        body += next(c for c in "0123456789" if pii._luhn(body + c))
+        span = rng.choice(["/", ".", "_"]).join(body[i : i + 4] for i in (0, 4, 8, 12))
+        return f"paid by credit card {span} on {w()}", 2, span
+    if kind == 3:
+        span = rng.choice([f"0{d(2)} {d(4)} {d(4)}", f"0{d(3)}/{d(6)}", f"({d(3)}) {d(3)}-{d(4)}", f"0{rng.randint(1, 9)} {d(2)} {d(2)} {d(2)} {d(2)}", f"00{d(2)} {d(2)} {d(6)}"])
+        return f"you may call {span} from {w()} on", 3, span
+    return rng.choice([f"order {d(3)}-{d(3)}-{d(4)} of {w()}", f"in the year {rng.randint(1900, 2020)}-{rng.randint(1900, 2020)} {w()}", f"see section {d(1)}.{d(1)}.{d(2)} at {w()}", f"at {rng.randint(0, 23)}:{d(2)}:{d(2)} {w()} came", f"price {d(1)} {d(3)} {d(3)} {w()}", f"arrived at {w()}. Then {w()}"]), None, None
+
+
+def test_added_spans_on_other_data():
+    rng = random.Random(31)
+    model, limits = pii.trained()
+    assert len(set(limits)) == 4 and max(limits) - min(limits) > 0.1
+    found, of, wrong, clean = [0] * 4, [0] * 4, 0, 0
+    for _ in range(3000):
+        text, kind, span = other_data(rng)
+        base = pii.base_spans(text)
+        got = {(k, text[a:b]) for k, a, b in pii._added([text], [base], model, limits)[0]} | {(k, text[a:b]) for k, v in enumerate(base) for a, b in v}
+        if kind is None:
+            clean, wrong = clean + 1, wrong + bool(got)
+        else:
+            of[kind], found[kind] = of[kind] + 1, found[kind] + ((kind, span) in got)
+    assert all(f >= 0.85 * n for f, n in zip(found, of)), (found, of)
+    assert wrong <= 0.05 * clean
+
+
+def test_no_single_feature_tells_the_examples_apart():
+    rng = random.Random(4)
+    rows = [r for _ in range(2500) for r in pii._labelled(rng)]
+    x, y = np.array([pii.features(*r[:4]) for r in rows], float), np.array([r[4] for r in rows])
+    for kind in range(4):
+        own = x[:, 0] == kind
+        for j in range(1, x.shape[1]):
+            value = x[own, j]
+            best = max(max(np.mean((value <= c) == y[own]), np.mean((value > c) == y[own])) for c in np.unique(value)[:-1]) if len(np.unique(value)) > 1 else 0
+            assert best < 0.97, (kind, j, best)
+
+
+def test_added_spans_equal_brute_force():
+    rng = random.Random(12)
+    separator = re.compile(r" ?[().\-/_] ?\(?| \(?")
+
+    def brute_numbers(text):
+        out = set()
+        edges = [m.span() for m in re.finditer("[0-9]+", text)]
+        for i in range(len(edges)):
+            for j in range(i, len(edges)):
+                if all(separator.fullmatch(text[edges[k][1] : edges[k + 1][0]]) for k in range(i, j)):
+                    a, b = edges[i][0], edges[j][1]
+                    n = len(re.sub("[^0-9]", "", text[a:b]))
+                    if 7 <= n <= 15:
+                        out.add((3, a - (text[a - 1 : a] == "(" and ")" in text[a:b]), b))
+                    if 13 <= n <= 19:
+                        out.add((2, a, b))
+        return out
+
+    def brute_emails(text):
+        out = set()
+        dot = r"(?:\.| +dot +| *[\[({] *(?:dot|\.) *[\])}] *)"
+        for i in range(1, len(text)):
+            m = re.compile(r" *[\[({] *at *[\])}] *| +at +| *@ *", re.I).match(text, i)
+            local = re.search(r"[A-Za-z0-9._%+-]+$", text[:i])
+            host = re.match(rf"[A-Za-z0-9-]+(?:{dot}[A-Za-z0-9-]+)+", text[m.end() :], re.I) if m else None
+            if local and host:
+                out.add((0, local.start(), m.end() + host.end()))
+        return out
+
+    for _ in range(4000):
+        text = "".join(rng.choice(["12", "345", "6789", " ", "-", ".", "(", ")", "/", "a", "bc", " at ", "[at]", " dot ", "[.]", "@", " x "]) for _ in range(14))
+        got = pii.candidates(text)
+        assert got == sorted(got)
+        assert {c for c in got if c[0] > 1} == brute_numbers(text), text
+        assert {c for c in got if c[0] == 0} == brute_emails(text), text
+        base = [sorted((a, min(len(text), a + rng.randint(1, 6))) for a in rng.sample(range(len(text)), 2)) if text and rng.random() < 0.3 and len(text) > 2 else [] for _ in range(4)]
+        assert pii._clear(got, base) == [c for c in got if not any(c[1] < b and a < c[2] for spans in base for a, b in spans)]
+        scored = [(rng.randrange(5) / 5, *c) for c in got]
+        taken = []
+        for _, k, a, b in sorted(scored, key=lambda c: (-c[0], c[2], -c[3], c[1])):
+            if not any(a < d and c < b for _, c, d in taken):
+                taken.append((k, a, b))
+        assert sorted(pii.choose(scored)) == sorted(taken)
+
+
+def test_long_texts_with_many_candidates(spark):
+    unit = "call 020 7946 0958 or write to jane at mail dot example dot com about 4111.1111.1111.1111; " + "plain words go on here and there " * 60
+    text = unit * (5_000_000 // len(unit))
+    row = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    spans = [s.split(":") for s in row.spans.split(",")]
+    assert len(spans) == 3 * text.count("call 020")
+    assert {text[int(a) : int(b)] for _, a, b in spans} == {"020 7946 0958", "jane at mail dot example dot com", "4111.1111.1111.1111"}
+    lone = "x" * 200 + " at mail dot com"
+    assert pii._added([lone], [pii.base_spans(lone)], *pii.trained()) == [[(0, 0, len(lone))]]
+
+
 def test_personal_data_edges(spark, docs):
     rows = pii.find_personal_data(docs).collect()
     assert len(rows) == len(EDGES)
