@@ -39,6 +39,45 @@ def brute_components(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
+def test_further_orders_leave_fewer_candidates(spark):
+    """Sets that share a few shingles under the first order only are no candidates under the others, and no set is fetched for them."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(50_000)]
+    shared = [[rng.choice(vocabulary) for _ in range(7)] for _ in range(20)]
+    rows = []
+    for i in range(400):
+        w = [rng.choice(vocabulary) for _ in range(40)]
+        for passage in rng.sample(shared, 2):
+            k = rng.randrange(30)
+            w[k : k + 7] = passage
+        rows.append((i, " ".join(w)))
+    texts = [t.encode() for _, t in rows]
+    offsets = np.append(0, np.cumsum([len(t) for t in texts]))
+    tokens, n = ngram_join.shingle_sets(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    hot = np.zeros(0, np.uint64)
+    import pyarrow as pa
+
+    columns = [pa.array(n.astype(np.int64)), pa.array(ngram_join._parity_maps(tokens, n), pa.binary()), pa.array(ngram_join._prefix_hashes(tokens, n, hot, 80), pa.binary())]
+    order = np.argsort(n, kind="stable")
+    i, j = np.triu_indices(len(n), 1)
+    passed = []
+    for orders in (1, 2, 3):
+        like = ngram_join.NearSets(80, orders)
+        loaded = like.take(like.load(columns), order)
+        passed.append(int(like._share_prefixes(loaded, i, j).sum()))
+    prefix, owner, _ = ngram_join._prefix(tokens, n, hot, 0, 80)
+    first = collections.defaultdict(set)
+    for t, o in zip(tokens[prefix].tolist(), owner.tolist()):
+        first[t].add(o)
+    met = {(a, b) for own in first.values() for a in own for b in own if a < b}
+    like = ngram_join.NearSets(80, 3)
+    loaded = like.load(columns)
+    pairs = np.array(sorted(met))
+    left = int(like._share_prefixes(loaded, pairs[:, 0], pairs[:, 1]).sum())
+    assert passed[0] == len(i) and passed[2] < passed[1] < passed[0]
+    assert 0 < left < 0.5 * len(met), (left, len(met))
+
+
 def near_copies(rng, n_groups=12, passage=True):
     vocabulary = [f"w{i}" for i in range(400)]
     shared = " ".join(rng.choice(vocabulary) for _ in range(40))
@@ -74,6 +113,18 @@ def test_near_duplicates_edges(spark):
     assert kept.columns == wide.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 5, 8]
 
 
+def test_texts_of_one_id_are_kept_apart(spark):
+    long = " ".join(f"x{k}" for k in range(60))
+    rows = [(5, "one two three four five six", "p"), (5, long, "q"), (5, long, "q"), (7, long + " y", "r"), (8, "one two three four five six", "s"), (9, " ", "t"), (9, " ", "t"), (None, long, "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _kept string").withColumn("row", F.lit(1)).withColumn("f1", F.lit(2)).withColumn("id", F.lit(3))
+    for parts in (1, 5):
+        kept = ngram_join.keep_one_each(df.repartition(parts))
+        assert kept.columns == df.columns
+        assert sorted((r.doc_id or 0, r._kept) for r in kept.collect()) == [(0, "u"), (5, "p"), (5, "q"), (9, "t")]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join.similar_documents(df).collect())
+    assert got == [(0, 56, 0), (5, 2, 5), (5, 56, 5), (5, 56, 5), (7, 57, 5), (8, 2, 5), (9, 0, 9), (9, 0, 9)]
+
+
 def test_prefix_length_is_enough():
     for n in range(1, 400):
         p = int(ngram_join.needed_prefix(np.array([n]))[0])
@@ -90,12 +141,7 @@ def brute_lines(rows):
             normal = line_dedup.normal_text(line.encode())
             if len(normal.split()) >= line_dedup.MIN_WORDS:
                 seen.append((d, k, normal))
-    texts = sorted({x[2] for x in seen})
-    raw = "\n".join(texts).encode()
-    sims = {}
-    owner, number, whole, sim, count = line_dedup.line_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-    for k, s, c in zip(number, sim, count):
-        sims[texts[k]] = (int(s), int(c))
+    texts = sorted({x[2] for x in seen}, key=lambda x: (len(x), x))
     root = {t: t for t in texts}
 
     def find(x):
@@ -103,11 +149,16 @@ def brute_lines(rows):
             x = root[x]
         return x
 
+    # an edit changes the length by one at most, and the counts of characters by one up and one down: what this rules out is no link
+    sizes = np.array([len(t) for t in texts])
+    counts = np.array([np.bincount([ord(c) % 96 for c in t], minlength=96) for t in texts], np.int16).reshape(len(texts), 96)
     for n, a in enumerate(texts):
-        for b in texts[n + 1 :]:
-            if min(sims[a][1], sims[b][1]) >= line_dedup.FUZZY_WORDS and (sims[a][0] ^ sims[b][0]).bit_count() <= line_dedup.DISTANCE:
-                if line_dedup.edit_distance(a, b) <= (1 - line_dedup.SIMILAR) * max(len(a), len(b)) + 1e-9:
-                    root[find(a)] = find(b)
+        most = (1 - line_dedup.SIMILAR) * sizes + 1e-9
+        js = n + 1 + np.flatnonzero(sizes[n + 1 :] - sizes[n] <= most[n + 1 :])
+        js = js[np.maximum(counts[js] - counts[n], 0).sum(axis=1) <= most[js]]
+        for b in (texts[j] for j in js):
+            if line_dedup.edit_distance(a, b) <= (1 - line_dedup.SIMILAR) * len(b) + 1e-9:
+                root[find(a)] = find(b)
     first, drop = {}, collections.defaultdict(set)
     for d, k, t in sorted(seen):
         c = find(t)

@@ -103,19 +103,26 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+class SpanHasher:
     """64-bit hashes of byte spans of one buffer: differences of a running polynomial sum, shifted to the origin and scrambled.
 
     Equal spans have equal hashes; different ones collide with a chance of about 2^-64 a pair.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    n = len(data)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE_VALUES[data] * _power_table(_BASE, n), out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * _power_table(_BASE_INVERSE, n + 1)[starts]
-    return mix64(raw + (ends - starts).astype(np.uint64))
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        self.sums = np.empty(n + 1, np.uint64)
+        self.sums[0] = 0
+        np.cumsum(_BYTE_VALUES[data] * _power_table(_BASE, n), out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        raw = (self.sums[ends] - self.sums[starts]) * _power_table(_BASE_INVERSE, len(self.sums))[starts]
+        return mix64(raw + (ends - starts).astype(np.uint64))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of some spans of a buffer, once (see SpanHasher)."""
+    return SpanHasher(data)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
 def ragged_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -140,6 +147,20 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return (data[offsets[0] : offsets[-1]], offsets - offsets[0]) if len(column) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
 
 
+def binary_buffers(column) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of an Arrow binary column without nulls."""
+    import pyarrow as pa
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def pieces_by_bytes(offsets: np.ndarray, most: int):
     """Cut rows into runs of at most `most` bytes (a longer row alone), as (first, last) row numbers."""
     first, n = 0, len(offsets) - 1

@@ -15,91 +15,152 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, mix64
+from .common import cut_lineage, mix64, ragged_index
 from .components import connected
 
 BLOCK = 512
 
 
-def _pairs(members: DataFrame, payload: list[str], arrange: Callable, passing: Callable, exhaustive: bool) -> DataFrame:
-    """(list, a, b): pairs to verify of each (list, block), and for a list with more pairs that pass, held back, a row without a and b. `arrange` gives a row's sort key; `passing` takes the sorted payload columns and
-    yields (i, later rows that may be linked with i, how far each is from i)."""
-    import pyarrow as pa
+class Likeness:
+    """What the members of a group carry, and which two of them may be linked. Subclasses work on many members at once, as arrays."""
 
-    def of_group(rows):
-        # a row: id, comp, part, payload ...
-        if len(rows) < 2 or len({r[1] for r in rows}) < 2:
-            return
-        rows = sorted(rows, key=lambda r: (arrange(*r[3:]), r[0]))
-        ids, comp, part, *own = zip(*rows)
-        if exhaustive:
-            c, p = np.array(comp), np.array(part)
-            across = len(set(part)) > 1
-            for i, js, _ in passing(*own):
-                js = js[(c[js] != c[i]) & ((p[js] != p[i]) | (not across))]
-                for j in js.tolist():
-                    yield ids[i], ids[j]
-            return
-        found = [(np.full(len(js), i), js, d) for i, js, d in passing(*own)]
-        if not found:
-            return
-        held_back = 0
-        i, j, d = map(np.concatenate, zip(*found))
-        root = {x: x for x in comp}
+    #: Columns of the payload.
+    columns: tuple[str, ...] = ()
+
+    def load(self, columns: list):
+        """The payload of Arrow columns, as a list of arrays with a row a member or of whatever `take` can pick from."""
+        raise NotImplementedError
+
+    def take(self, loaded, rows: np.ndarray):
+        return [x[rows] for x in loaded]
+
+    def reach(self, loaded) -> tuple[np.ndarray, np.ndarray]:
+        """(low, high), non-negative whole numbers below 2^40, both rising with the key: members i before j may be linked only if low of j is at most high of i.
+
+        Members of a group are sorted by low."""
+        raise NotImplementedError
+
+    def test(self, loaded, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs (i before j) may be linked, and of those how far apart they seem."""
+        raise NotImplementedError
+
+
+def _forest(group, i, j, d, comp):
+    """(pairs of a spanning forest of the nearest pairs between components, groups with further pairs), of pairs sorted by group and distance."""
+    kept = np.zeros(len(i), bool)
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    sizes = np.diff(np.append(starts, len(group)))
+    kept[starts] = True
+    more = []
+    for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+        root: dict[int, int] = {}
 
         def find(x):
-            while root[x] != x:
+            while root.setdefault(x, x) != x:
                 root[x] = root[root[x]]
                 x = root[x]
             return x
 
-        left = len(root)
-        for k in np.argsort(d, kind="stable").tolist():
-            if comp[i[k]] == comp[j[k]]:
-                continue
-            a, b = find(comp[i[k]]), find(comp[j[k]])
+        held_back = False
+        for k, x, y in zip(range(s, s + n), comp[i[s : s + n]].tolist(), comp[j[s : s + n]].tolist()):
+            a, b = find(x), find(y)
             if a != b:
                 root[max(a, b)] = min(a, b)
-                yield ids[i[k]], ids[j[k]]
-                left -= 1
+                kept[k] = True
             else:
-                held_back += 1
-            if left == 1 and held_back:
-                break
+                held_back = True
         if held_back:
-            yield None, None
+            more.append(int(group[s]))
+    return np.flatnonzero(kept), more
+
+
+#: Rows of complete groups that are worked on at once, and pairs of them that are tested at once.
+_ROWS, _TESTED = 1 << 14, 1 << 16
+
+
+def _pairs_of(table, like: Likeness, exhaustive: bool):
+    """(list, a, b) arrays of the pairs to verify of complete groups, and the lists with pairs held back."""
+    numbers = [table.column(k).to_numpy() for k in range(5)]
+    loaded = like.load([table.column(k) for k in range(5, table.num_columns)])
+    low, _ = like.reach(loaded)
+    order = np.lexsort((numbers[2], low, numbers[1], numbers[0]))
+    lists, block, ids, comp, part = (x[order] for x in numbers)
+    new = np.append(True, (lists[1:] != lists[:-1]) | (block[1:] != block[:-1]))[: len(lists)]
+    group = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    apart = (np.minimum.reduceat(comp, starts) < np.maximum.reduceat(comp, starts))[group] if len(starts) else np.zeros(0, bool)
+    across = (np.minimum.reduceat(part, starts) < np.maximum.reduceat(part, starts))[group] if len(starts) else np.zeros(0, bool)
+    rows = np.flatnonzero(apart)
+    lists, ids, comp, part, group, across = (x[rows] for x in (lists, ids, comp, part, group, across))
+    loaded = like.take(loaded, order[rows])
+    low, high = like.reach(loaded)
+    base = group.astype(np.int64) << 40
+    end = np.searchsorted(base + low, base + high, side="right")
+    count = np.maximum(end - np.arange(len(rows)) - 1, 0)
+    found = []
+    done, sums = 0, np.cumsum(count)
+    while done < len(rows):
+        last = max(done + 1, int(np.searchsorted(sums, (sums[done - 1] if done else 0) + _TESTED, side="right")))
+        i = np.repeat(np.arange(done, last), count[done:last])
+        j = ragged_index(np.arange(done, last) + 1, count[done:last])
+        use = comp[i] != comp[j]
+        if exhaustive:
+            use &= (part[i] != part[j]) | ~across[i]
+        i, j = i[use], j[use]
+        if len(i):
+            ok, d = like.test(loaded, i, j)
+            found.append((i[ok], j[ok], d))
+        done = last
+    i, j, d = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    more: list[int] = []
+    if not exhaustive and len(i):
+        order = np.lexsort((d, group[i]))
+        i, j = i[order], j[order]
+        kept, held = _forest(group[i], i, j, d[order], comp)
+        more = np.unique(lists[np.searchsorted(group, held)]).tolist() if held else []
+        i, j = i[kept], j[kept]
+    return lists[i], ids[i], ids[j], more
+
+
+def _pairs(members: DataFrame, like: Likeness, exhaustive: bool) -> DataFrame:
+    """(list, a, b): pairs to verify of each (list, block), and for a list with more pairs that pass, held back, a row without a and b."""
+    import pyarrow as pa
 
     def run(batches):
-        last, rows, out = None, [], []
+        held, n = [], 0
 
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], ["list", "a", "b"])
+        def of(table):
+            lists, a, b, more = _pairs_of(table, like, exhaustive)
+            none = pa.nulls(len(more), pa.int64())
+            columns = [pa.concat_arrays([pa.array(x, pa.int64()), y]) for x, y in ((lists, pa.array(more, pa.int64())), (a, none), (b, none))]
+            return pa.RecordBatch.from_arrays(columns, ["list", "a", "b"])
 
         for batch in batches:
-            for group, block, *row in zip(*[batch.column(k).to_pylist() for k in range(batch.num_columns)]):
-                if (group, block) != last and rows:
-                    out += [(last[0], *x) for x in of_group(rows)]
-                    rows = []
-                last = (group, block)
-                rows.append(row)
-            if out:
-                yield flush()
-                out = []
-        out = [(last[0], *x) for x in of_group(rows)] if rows else []
-        if out:
-            yield flush()
-
-    grouped = members.select("list", "block", "id", "comp", "part", *payload).repartition("list", "block").sortWithinPartitions("list", "block")
+            held.append(batch)
+            n += batch.num_rows
+            if n < _ROWS:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            lists, block = table.column(0).to_numpy(), table.column(1).to_numpy()
+            cut = int(np.flatnonzero((lists != lists[-1]) | (block != block[-1]))[-1]) + 1 if lists[0] != lists[-1] or block[0] != block[-1] else 0
+            if cut:  # the last group may go on
+                yield of(table.slice(0, cut))
+                held, n = table.slice(cut).to_batches(), n - cut
+        if n:
+            yield of(pa.Table.from_batches(held).combine_chunks())
+
+    grouped = members.select("list", F.col("block").cast("long").alias("block"), "id", "comp", F.col("part").cast("long").alias("part"), *like.columns)
+    grouped = grouped.repartition("list", "block").sortWithinPartitions("list", "block")
     pairs = grouped.mapInArrow(run, "list bigint, a bigint, b bigint")
     return pairs.select("list", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def components_of_groups(members: DataFrame, payload: list[str], arrange: Callable, passing: Callable, verify: Callable[[DataFrame], DataFrame], block: int = 0) -> DataFrame | None:
+def components_of_groups(members: DataFrame, like: Likeness, verify: Callable[[DataFrame], DataFrame], block: int = 0) -> DataFrame | None:
     """(id, component) of all members that are linked with another, by the components of all links; None without groups.
 
     members: list, m (its width), id and the payload. verify: takes a table of pairs, returns the linked ones (both written).
     """
-    block = block or BLOCK
+    block, payload = block or BLOCK, list(like.columns)
     widest = members.agg(F.coalesce(F.max("m"), F.lit(0))).first()[0]
     links, tested, more = None, None, members.filter(F.col("m") > block).select("list")
     labels = None
@@ -127,7 +188,7 @@ def components_of_groups(members: DataFrame, payload: list[str], arrange: Callab
         if links is not None:  # one member stands for its component
             held = held.groupBy("list", "comp").agg(F.min(F.struct("id", *payload)).alias("x"), F.first("m").alias("m")).select("list", "m", "comp", "x.*")
         parts = F.least(F.ceil(F.lit(widest / block)), F.ceil(F.col("m") / block))
-        add(_pairs(held.withColumn("block", F.pmod(F.xxhash64("comp"), parts)).withColumn("part", F.lit(0)), payload, arrange, passing, False))
+        add(_pairs(held.withColumn("block", F.pmod(F.xxhash64("comp"), parts)).withColumn("part", F.lit(0)), like, False))
         widest = widest // block if widest > block else 0
     if labels is None:
         return None
@@ -137,7 +198,7 @@ def components_of_groups(members: DataFrame, payload: list[str], arrange: Callab
     held = held.join(apart.join(more.distinct(), "list", "left_semi"), "list", "left_semi").withColumn("part", F.pmod(F.xxhash64("id"), parts))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     held = held.withColumn("block", F.least("part", "other") * (1 << 31) + F.greatest("part", "other"))
-    add(_pairs(held, payload, arrange, passing, True), tested)
+    add(_pairs(held, like, True), tested)
     return labels
 
 
