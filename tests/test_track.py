@@ -181,7 +181,7 @@ def test_frame_lists_and_tables(spark, tmp_path):
 def test_kml(spark):
     points = spark.createDataFrame([("a<b", 2, 1.5, 2.5), ("a<b", 1, 1.0, 2.0), ("empty", 1, None, None)], "name string, t int, latitude double, longitude double")
     lines = kml.path_lines(points, "name", ["t"])
-    assert lines.first().coordinates == "2.00000000,1.00000000,0.00 2.50000000,1.50000000,0.00"
+    assert lines.first().coordinates == "2.00000000,1.00000000,0.000 2.50000000,1.50000000,0.000"
     text = kml.document(kml.placemarks(lines, "name"), "name", "x & y").first().value
     assert "a&lt;b start" in text and "x &amp; y" in text and "empty" not in text
 

@@ -153,20 +153,29 @@ class UpgradeGate:
     inliers: int = 8
     good: int = 15
     ratio: float = 0.18
-    reason: str | None = None
+    #: Whether the candidate must be accepted, and whether a reason it carries must say so.
+    accepted: bool = True
+    reason_accepted: bool = False
+
+
+#: Fixed value: the verdict on a candidate that passes all gates.
+QUALITY_OK = "candidate_quality_ok"
 
 
 def upgrade_reason(has_reference, accepted, confidence, inliers, good, ratio, match_reason, gate: UpgradeGate = UpgradeGate()) -> Column:
-    """`quality_ok`, or the first gate that a rerun candidate fails, with the threshold in its name."""
+    """`candidate_quality_ok`, or the first gate that a rerun candidate fails, with the threshold in its name. The names are fixed values."""
     low = lambda x, least: F.coalesce(_c(x).cast("double"), F.lit(0.0)) < least
     yes = lambda x: F.coalesce(_c(x), F.lit(False))
-    reason = F.when(~yes(has_reference), "missing_reference").when(~yes(accepted), "not_accepted")
-    if gate.reason is not None:
-        reason = reason.when(F.coalesce(_c(match_reason), F.lit("")) != gate.reason, f"reason_not_{gate.reason}")
-    reason = reason.when(low(confidence, gate.confidence), f"confidence_below_{gate.confidence:g}")
-    reason = reason.when(low(inliers, gate.inliers), f"inliers_below_{gate.inliers}")
-    reason = reason.when(low(good, gate.good), f"good_below_{gate.good}").when(low(ratio, gate.ratio), f"ratio_below_{gate.ratio:g}")
-    return reason.otherwise("quality_ok")
+    reason = F.when(~yes(has_reference), "no_reference")
+    if gate.accepted:
+        reason = reason.when(~yes(accepted), "candidate_not_accepted")
+    if gate.reason_accepted:
+        said = F.lower(F.trim(F.coalesce(_c(match_reason), F.lit(""))))
+        reason = reason.when((said != "") & (said != "accepted"), F.concat(F.lit("candidate_reason_"), said))
+    reason = reason.when(low(confidence, gate.confidence), f"candidate_confidence_lt_{gate.confidence:g}")
+    reason = reason.when(low(inliers, gate.inliers), f"candidate_inliers_lt_{gate.inliers}")
+    reason = reason.when(low(good, gate.good), f"candidate_good_matches_lt_{gate.good}").when(low(ratio, gate.ratio), f"candidate_inlier_ratio_lt_{gate.ratio:g}")
+    return reason.otherwise(QUALITY_OK)
 
 
 def first_of(df: DataFrame, names: list[str], parse=number_or_null) -> Column:
@@ -278,15 +287,24 @@ def region_status(consensus, own, anchor, accepted, distance, near_m: float = 18
 
 
 def rerun_reason(anchor, context, accepted, own, distance, confidence, far_m: float = 180.0, least: float = 8.0) -> Column:
-    """Why a frame is to be run again in its context regions (an array), or why not."""
+    """Why a frame is to be run again in its context regions (an array), or why not. The names are fixed values."""
     yes = lambda x: F.coalesce(_c(x), F.lit(False))
-    context = _c(context)
-    reason = F.when(yes(anchor), "anchor_keep").when(F.coalesce(F.size(context), F.lit(0)) <= 0, "no_context")
-    reason = reason.when(~yes(accepted), "rejected").when(_c(own).isNotNull() & ~F.array_contains(context, _c(own)), "outside_context_region")
-    return reason.when(_c(distance) > far_m, "far_from_context").when(F.coalesce(_c(confidence) < least, F.lit(False)), "low_confidence").otherwise("keep")
+    context, (rejected, outside, far, low) = _c(context), RERUN_REASONS
+    reason = F.when(yes(anchor), "anchor_keep").when(F.coalesce(F.size(context), F.lit(0)) <= 0, "no_context_skip")
+    reason = reason.when(~yes(accepted), rejected).when(_c(own).isNotNull() & ~F.array_contains(context, _c(own)), outside)
+    return reason.when(_c(distance) > far_m, far).when(F.coalesce(_c(confidence) < least, F.lit(False)), low).otherwise("accepted_keep")
+
+
+#: Reasons that send a frame to a rerun.
+RERUN_REASONS = ("rejected_or_weak_in_grid_context", "accepted_jump_to_non_context_grid", "accepted_far_from_context_grid", "accepted_low_confidence_in_grid_context")
 
 
-RERUN_REASONS = ("rejected", "outside_context_region", "far_from_context", "low_confidence")
+def nearest_listed_distance(lat, lon, regions, centers) -> Column:
+    """Distance of a point to the nearest of the listed regions. `regions`: array of ids; `centers`: map from id to a struct of latitude and
+    longitude. Ids that the map lacks are passed over; null for an incomplete point or no known region."""
+    centers = _c(centers)
+    each = F.transform(_c(regions), lambda r: haversine_m(_c(lat), _c(lon), F.try_element_at(centers, r)["latitude"], F.try_element_at(centers, r)["longitude"]))
+    return F.array_min(F.array_compact(each))
 
 
 def marked_for_rerun(expected_lat, accepted, trusted, initial, mode: str = "all-non-seed") -> Column:

@@ -14,10 +14,19 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine_m, local_xy, speed_mps
 
 
+#: Rows of both sides from which a key is read in slices of time, and the number of slices.
+LONG_KEY = 1 << 20
+TIME_SLICES = 4096
+
+
 def asof_nearest(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, right_cols: list[str], order: str) -> DataFrame:
     """Each left row with the right row of its key that is nearest in time; of equally near ones the first in (time, `order`).
 
     Left rows without any right row get nulls; right rows without a time take no part. Added: `right_cols`, right_<time> and time_gap.
+
+    Both sides are one sequence in time, read forwards for the row before and backwards for the row after, each in one pass. A key of
+    more than `LONG_KEY` rows is cut into `TIME_SLICES` slices of its time span, which are read apart; a table of the slices' first and
+    last right rows tells each what lies before and behind it.
     """
     packed = F.struct(F.col(right_time).alias("t"), F.col(order).alias("o"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(right_cols)])
     r = right.filter(F.col(right_time).isNotNull()).select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.col(order).alias("_o"), packed.alias("_r"))
@@ -25,11 +34,25 @@ def asof_nearest(left: DataFrame, right: DataFrame, key: str, left_time: str, ri
     r = r.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_t").orderBy("_o"))).filter("_n = 1").drop("_n", "_o")
     row = F.struct(*[F.col(c) for c in left.columns])
     both = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), row.alias("_l")).unionByName(r, allowMissingColumns=True)
-    by_time = Window.partitionBy("_k").orderBy("_t")
+    seconds = F.col("_t").cast("double")
+    long = both.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.min(seconds).alias("_lo"), F.max(seconds).alias("_hi")).filter(F.col("_n") > LONG_KEY)
+    both = both.join(long.withColumnRenamed("_k", "_long"), F.col("_k").eqNullSafe(F.col("_long")), "left")
+    share = F.when(F.col("_hi") > F.col("_lo"), (seconds - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    both = both.withColumn("_slice", F.coalesce(F.least(F.floor(share * TIME_SLICES), F.lit(TIME_SLICES - 1)), F.lit(0))).withColumn("_cut", F.col("_n").isNotNull())
+    both = both.select("_k", "_t", "_l", "_r", "_slice", "_cut")
+    ends = both.filter("_cut").groupBy("_k", "_slice").agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_t"))).alias("_last"), F.min_by("_r", F.when(F.col("_r").isNotNull(), F.col("_t"))).alias("_first"))
+    slices = Window.partitionBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(
+        F.col("_k").alias("_ek"), F.col("_slice").alias("_es"),
+        F.last("_last", ignorenulls=True).over(slices.orderBy("_slice")).alias("_earlier"), F.last("_first", ignorenulls=True).over(slices.orderBy(F.desc("_slice"))).alias("_later"),
+    )
+    so_far = Window.partitionBy("_k", "_slice").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     both = both.withColumns({
-        "_before": F.last("_r", ignorenulls=True).over(by_time.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
-        "_after": F.first("_r", ignorenulls=True).over(by_time.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
+        "_before": F.last("_r", ignorenulls=True).over(so_far.orderBy("_t")),
+        "_after": F.last("_r", ignorenulls=True).over(so_far.orderBy(F.desc("_t"))),
     }).filter(F.col("_l").isNotNull())
+    both = both.join(ends, F.col("_cut") & F.col("_k").eqNullSafe(F.col("_ek")) & (F.col("_slice") == F.col("_es")), "left")
+    both = both.withColumns({"_before": F.coalesce("_before", "_earlier"), "_after": F.coalesce("_after", "_later")})
     back, ahead = F.abs(F.col("_t") - F.col("_before.t")), F.abs(F.col("_after.t") - F.col("_t"))
     best = F.when(F.col("_after").isNull() | (back <= ahead), F.col("_before")).otherwise(F.col("_after"))
     both = both.withColumn("_best", F.when(F.col("_t").isNotNull(), best))
@@ -62,11 +85,19 @@ def three_key_lookup(left: DataFrame, dim: DataFrame, tries: list[list[str]], va
     return out.select(*left.columns, F.coalesce(*[F.col(f"_v{i}") for i in range(len(tries))]).alias(value))
 
 
+#: Centres and grid cells that are sent to every task, at most: some 64 bytes each.
+MOST_CENTERS = 1 << 16
+
+
 def nearest_center(points: DataFrame, centers: DataFrame, id_col: str, most_m: float | None = None) -> DataFrame:
     """Each point (latitude, longitude) with the id of the nearest centre and the distance; ties to the smaller id, beyond `most_m` null.
 
-    Centres are a dimension of few rows, sent as one array to the points, so that points are not shuffled.
+    Centres are a dimension: up to `MOST_CENTERS` of them go as one array to the points, so that points are not shuffled; more raise, as
+    then a join by cells (within_radius) is the way.
     """
+    n = centers.limit(MOST_CENTERS + 1).count()
+    if n > MOST_CENTERS:
+        raise ValueError(f"more than {MOST_CENTERS} centres: use within_radius")
     packed = centers.agg(F.sort_array(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")))).alias("_centers"))
     near = F.array_min(F.transform("_centers", lambda c: F.struct(haversine_m(F.col("latitude"), F.col("longitude"), c["lat"], c["lon"]).alias("d"), c["id"].alias("id"))))
     out = points.join(F.broadcast(packed)).withColumn("_near", F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), near))
@@ -87,9 +118,11 @@ def origin_of(df: DataFrame, lat: str = "latitude", lon: str = "longitude") -> t
 
 
 def grid_cells(df: DataFrame, origin: tuple[float, float], rows: int = 3, cols: int = 5, padding_m: float = 30.0) -> DataFrame:
-    """rows x cols cells over the padded bounds of the points, numbered by row from 1; raises if they span nothing."""
+    """rows x cols cells over the padded bounds of the points, numbered by row from 1; raises if they span nothing, or for more than MOST_CENTERS cells."""
     if rows < 1 or cols < 1:
         raise ValueError("a grid needs a row and a column")
+    if rows * cols > MOST_CENTERS:
+        raise ValueError(f"a grid has at most {MOST_CENTERS} cells")
     b = with_local_xy(df, origin).agg(F.min("east_m"), F.max("east_m"), F.min("north_m"), F.max("north_m")).first()
     if b[0] is None:
         raise ValueError("no points to lay a grid over")
@@ -106,7 +139,7 @@ def grid_cells(df: DataFrame, origin: tuple[float, float], rows: int = 3, cols:
 
 
 def cell_of(points: DataFrame, cells: DataFrame, halo_m: float = 1e-9) -> DataFrame:
-    """Points with every cell (edges and halo included) that they lie in. Cells are a small dimension."""
+    """Points with every cell (edges and halo included) that they lie in. Cells are those of grid_cells, MOST_CENTERS at most."""
     c = F.broadcast(cells.select("cell_id", "x_min_m", "x_max_m", "y_min_m", "y_max_m"))
     inside = F.col("east_m").between(F.col("x_min_m") - halo_m, F.col("x_max_m") + halo_m) & F.col("north_m").between(F.col("y_min_m") - halo_m, F.col("y_max_m") + halo_m)
     return points.join(c, inside).select(*points.columns, "cell_id")
@@ -188,11 +221,24 @@ def pairs_in_track(seeds: DataFrame, track: str, order: str, most_m: float, most
     side = lambda x: s.select(cols[0], *[c.alias(f"{x}_{n}") for c, n in zip(cols[1:], ("order", "rank", "t", "lat", "lon"))])
     a, b = side("a"), side("b")
     if rank_gap is None:
-        # cells of the distance's size; nine around the first side's own, in degrees of latitude and of the widest longitude
+        # bands of latitude as high as the distance, cut into cells of longitude as wide as it is at the pole-ward end of the band and its
+        # neighbours; the second side lies in its own cell, the first one in the nine around it
         size = math.degrees(most_m / 6_371_000.0) * 1.01
+        half = math.sin(min(math.pi / 2, most_m / 6_371_000.0 / 2))
         band = lambda x: F.floor(F.col(f"{x}_lat") / size)
-        a = a.withColumn("_cell", F.explode(F.array(*[band("a") + k for k in (-1, 0, 1)])))
-        b = b.withColumn("_cell", band("b"))
+
+        def cells(j):
+            """Cells of longitude in band j: as many as fit around the globe."""
+            widest = F.cos(F.radians(F.least(F.lit(90.0), (F.greatest(F.abs(j - 1), F.abs(j + 2))) * size)))
+            return F.greatest(F.lit(1.0), F.floor(F.lit(360.0) / (F.degrees(2 * F.asin(F.least(F.lit(1.0), half / F.greatest(widest, F.lit(1e-9))))) * 1.01)))
+
+        def cell(j, lon, k=0):
+            place = F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * cells(j))
+            return F.struct(j.cast("long").alias("j"), F.pmod(place + k, cells(j)).cast("long").alias("i"))
+
+        around = F.array_distinct(F.flatten(F.array(*[F.array(*[cell(band("a") + k, F.col("a_lon"), m) for m in (-1, 0, 1)]) for k in (-1, 0, 1)])))
+        a = a.withColumn("_cell", F.explode(around))
+        b = b.withColumn("_cell", cell(band("b"), F.col("b_lon")))
     else:
         bucket = lambda x: F.floor(F.col(f"{x}_rank") / rank_gap)
         a = a.withColumn("_cell", F.explode(F.array(bucket("a"), bucket("a") + 1)))

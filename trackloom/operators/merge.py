@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
+from ..functions.scalars import QUALITY_OK
 
 
 def union_all(tables: list[DataFrame]) -> DataFrame:
@@ -63,9 +64,9 @@ def merge_plan(base: DataFrame, plan: DataFrame, candidates: DataFrame, frame: s
 
 
 def first_passing(candidates: DataFrame, frame: list[str], reason: str, tie: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(the best-ranked candidate of each frame with reason `quality_ok`, diagnostics: all that were tried, up to and with that one)."""
+    """(the best-ranked candidate of each frame with reason QUALITY_OK, diagnostics: all that were tried, up to and with that one)."""
     ranked = ranked_candidates(candidates, frame, tie)
-    ok = F.min(F.when(F.col(reason) == "quality_ok", F.col("rank"))).over(Window.partitionBy(*frame))
+    ok = F.min(F.when(F.col(reason) == QUALITY_OK, F.col("rank"))).over(Window.partitionBy(*frame))
     tried = ranked.withColumn("_ok", ok).filter(F.col("_ok").isNull() | (F.col("rank") <= F.col("_ok")))
     return tried.filter(F.col("rank") == F.col("_ok")).drop("_ok"), tried.drop("_ok")
 

@@ -7,10 +7,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.geo import bearing_deg, haversine_m
 
 
+#: What the anchors around a frame say of its regions.
+CONTEXT_REASONS = ("between_same_grid_anchors", "between_different_grid_anchors", "after_previous_grid_anchor", "before_next_grid_anchor", "no_nearby_anchor_context")
+
+
 def track_window(track: str, order: list[str]):
     return Window.partitionBy(track).orderBy(*order)
 
@@ -21,15 +26,18 @@ def previous_flagged(value: Column, flag: Column, window, steps: int | None = No
     return F.last(F.when(flag, value), ignorenulls=True).over(window.rowsBetween(low, -1))
 
 
-def next_flagged(value: Column, flag: Column, window, steps: int | None = None) -> Column:
-    high = Window.unboundedFollowing if steps is None else steps
-    return F.first(F.when(flag, value), ignorenulls=True).over(window.rowsBetween(1, high))
+def next_flagged(value: Column, flag: Column, track: str, order: list[str], steps: int | None = None) -> Column:
+    """The value at the nearest later flagged row. Without a bound the track is read backwards: a frame that grows from its start is
+    linear in the track, one that shrinks towards its end is evaluated anew at every row."""
+    if steps is None:
+        return previous_flagged(value, flag, Window.partitionBy(track).orderBy(*[F.col(c).desc_nulls_last() for c in order]))
+    return F.first(F.when(flag, value), ignorenulls=True).over(track_window(track, order).rowsBetween(1, steps))
 
 
 def with_neighbours(df: DataFrame, flag: Column, columns: list[str], track: str, order: list[str], steps: int | None = None) -> DataFrame:
-    """Add prev_ and next_ structs of `columns` from the nearest flagged rows on either side."""
-    w, row = track_window(track, order), F.struct(*columns)
-    return df.withColumns({"prev": previous_flagged(row, flag, w, steps), "next": next_flagged(row, flag, w, steps)})
+    """Add prev_ and next_ structs of `columns` from the nearest flagged rows on either side. Rows of equal order come as Spark sorts them."""
+    row = F.struct(*columns)
+    return df.withColumns({"prev": previous_flagged(row, flag, track_window(track, order), steps), "next": next_flagged(row, flag, track, order, steps)})
 
 
 def jumps(df: DataFrame, track: str, order: list[str], lat: str = "latitude", lon: str = "longitude") -> DataFrame:
@@ -86,8 +94,9 @@ def expected_path(df: DataFrame, track: str, order: list[str], time: str, truste
 
 
 def consensus_region(df: DataFrame, anchor: str, region: str, track: str, order: list[str], steps: int = 8) -> DataFrame:
-    """Add consensus_region: the region of both neighbouring anchors if they agree, else the row's own if it is an anchor, else the only side's."""
-    d = with_neighbours(df, F.col(anchor), [region], track, order, steps)
+    """Add consensus_region: the region of both neighbouring anchors if they agree, else the row's own if it is an anchor, else the only
+    side's. Anchors without a region are passed over."""
+    d = with_neighbours(df, F.col(anchor) & F.col(region).isNotNull(), [region], track, order, steps)
     p, n = F.col(f"prev.{region}"), F.col(f"next.{region}")
     has_p, has_n = F.col("prev").isNotNull(), F.col("next").isNotNull()
     found = F.when(has_p & has_n & p.eqNullSafe(n), p).when(F.col(anchor) & F.col(region).isNotNull(), F.col(region))
@@ -106,11 +115,12 @@ def fill_in_region(df: DataFrame, anchor: str, region: str, wanted: str, track:
 
 
 def context_regions(df: DataFrame, anchor: str, region: str, track: str, order: list[str], steps: int = 8, most: int = 2, fallback: list[int] = ()) -> DataFrame:
-    """Add context_regions (distinct ids, at most `most`) and context_reason from the anchors on either side; `fallback` ids fill up."""
-    d = with_neighbours(df, F.col(anchor), [region], track, order, steps)
+    """Add context_regions (distinct ids, at most `most`) and context_reason from the anchors with a region on either side; `fallback` ids fill up."""
+    d = with_neighbours(df, F.col(anchor) & F.col(region).isNotNull(), [region], track, order, steps)
     p, n = F.col(f"prev.{region}"), F.col(f"next.{region}")
-    reason = F.when(p.isNotNull() & (p == n), "same_region_both_sides").when(p.isNotNull() & n.isNotNull(), "different_regions")
-    reason = reason.when(p.isNotNull(), "previous_only").when(n.isNotNull(), "next_only").otherwise("no_context")
+    same, different, before, after, none = CONTEXT_REASONS
+    reason = F.when(p.isNotNull() & (p == n), same).when(p.isNotNull() & n.isNotNull(), different)
+    reason = reason.when(p.isNotNull(), before).when(n.isNotNull(), after).otherwise(none)
     ids = F.array_distinct(F.array_compact(F.concat(F.array(p, n), F.array(*[F.lit(x).cast("int") for x in fallback]) if fallback else F.array().cast("array<int>"))))
     return d.withColumns({"context_regions": F.slice(ids, 1, most), "context_reason": reason}).drop("prev", "next")
 
@@ -134,5 +144,31 @@ def stride_sample(df: DataFrame, every: int, order: list[str], track: str | None
     """Every n-th row by order, the first included, within tracks if given."""
     if every < 1:
         raise ValueError("stride must be positive")
-    w = Window.partitionBy(track).orderBy(*order) if track else Window.orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w) - 1).filter(F.col("_n") % every == 0).drop("_n")
+    numbered = df.withColumn("_n", F.row_number().over(track_window(track, order))) if track else number_rows(df, order, "_n")
+    return numbered.filter((F.col("_n") - 1) % every == 0).drop("_n")
+
+
+#: Pieces of a table that is numbered as a whole.
+PIECES = 256
+
+
+def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Number all rows from 1 by order, nulls first, without bringing them to one task.
+
+    Rows are dealt into pieces of the first key (by approximate quantiles if it is a number, else by value), numbered within their piece,
+    and moved on by the size of the pieces before. Only the sizes of the pieces are added up in one place.
+    """
+    first = order[0]
+    if isinstance(df.schema[first].dataType, NumericType):
+        cuts = df.agg(F.percentile_approx(F.col(first).cast("double"), [i / PIECES for i in range(1, PIECES)], 10000)).first()[0]
+        cuts = F.array(*[F.lit(float(c)) for c in sorted(set(cuts or [0.0]))])
+        piece = F.coalesce(F.size(F.filter(cuts, lambda c: c < F.col(first).cast("double"))) + F.when(F.col(first).isNotNull(), 0), F.lit(-1))
+    else:
+        piece = F.col(first)
+    cut = df.withColumn("_piece", piece)
+    before = Window.orderBy(F.col("_piece").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy("_piece").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = sizes.select(F.col("_piece").alias("_of"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    joined = cut.join(sizes, F.col("_piece").eqNullSafe(F.col("_of")))
+    number = F.col("_before") + F.row_number().over(Window.partitionBy("_piece").orderBy(*order))
+    return joined.select(*df.columns, number.cast("long").alias(name))

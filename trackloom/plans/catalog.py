@@ -331,7 +331,7 @@ def grid_counts_halo(spark, sf_dir):
 
 @query(
     "radius_ladder",
-    f"""with {SCORED_SQL}, xy as (select *, {_XY_SQL} from s), t as (select track, frame as target, east_m as x, north_m as y from xy where frame % 40 = 0),
+    f"""with {SCORED_SQL}, xy as (select *, {_XY_SQL} from s), t as (select track, frame as target, east_m as x, north_m as y from xy where event_type = 'signup'),
 n as (select t.track, xy.frame, min(sqrt(power(east_m - x, 2) + power(north_m - y, 2))) as d from t, xy group by all),
 k as (select track, count(*) filter (d <= 20) as h0, count(*) filter (d <= 30) as h1, count(*) filter (d <= 45) as h2, count(*) filter (d <= 60) as h3 from n group by track)
 select track, case when h0 >= 20 then 20e0 when h1 >= 20 then 30e0 when h2 >= 20 then 45e0 else 60e0 end as radius_m,
@@ -339,19 +339,19 @@ select track, case when h0 >= 20 then 20e0 when h1 >= 20 then 30e0 when h2 >= 20
 )
 def radius_ladder(spark, sf_dir):
     p = joins.with_local_xy(predictions(spark, sf_dir), ORIGIN)
-    targets = p.filter("frame % 40 = 0").select("track", F.col("frame").alias("target"), "east_m", "north_m")
+    targets = p.filter("event_type = 'signup'").select("track", F.col("frame").alias("target"), "east_m", "north_m")
     return joins.count_by_radius(p, targets, "track", "target", "frame", joins.radius_ladder(20.0, 60.0), 20)
 
 
 @query(
     "radius_semi_join",
     f"""with {SCORED_SQL}, xy as (select *, {_XY_SQL} from s)
-select frame from xy a where exists (select 1 from xy b where b.frame % 200 = 0 and sqrt(power(a.east_m - b.east_m, 2) + power(a.north_m - b.north_m, 2)) <= 25)""",
+select frame from xy a where exists (select 1 from xy b where b.event_type = 'error' and sqrt(power(a.east_m - b.east_m, 2) + power(a.north_m - b.north_m, 2)) <= 25)""",
 )
 def radius_semi_join(spark, sf_dir):
-    p = joins.with_local_xy(predictions(spark, sf_dir), ORIGIN).select("frame", "east_m", "north_m")
-    targets = p.filter("frame % 200 = 0").select(F.col("frame").alias("target"), "east_m", "north_m")
-    return joins.near_any(p, targets, 25.0, "target", "frame").select("frame")
+    p = joins.with_local_xy(predictions(spark, sf_dir), ORIGIN)
+    targets = p.filter("event_type = 'error'").select(F.col("frame").alias("target"), "east_m", "north_m")
+    return joins.near_any(p.select("frame", "east_m", "north_m"), targets, 25.0, "target", "frame").select("frame")
 
 
 @query(
@@ -367,14 +367,14 @@ def before_after_frames(spark, sf_dir):
 
 @query(
     "hamming_ratio_match",
-    """with d as (select vec_id, label, list_sum(list_transform(range(32), lambda i: case when embedding[i + 1] > 0 then (1::bigint << i::bigint) else 0 end))::bigint as bits from embeddings),
+    """with d as (select vec_id, label, list_sum(list_transform(range(62), lambda i: case when embedding[i + 1] > 0 then (1::bigint << i::bigint) else 0 end))::bigint as bits from embeddings),
 n as (select a.label as pair_id, a.vec_id as q_id, b.vec_id as r_id, bit_count(xor(a.bits, b.bits)) as d from d a join d b on a.label = b.label where a.vec_id % 10 = 0 and b.vec_id % 10 <> 0),
 r as (select *, row_number() over (partition by pair_id, q_id order by d, r_id) as k from n),
 w as (select pair_id, q_id, max(r_id) filter (k = 1) as r_id, max(d) filter (k = 1) as distance, max(d) filter (k = 2) as second from r where k <= 2 group by all)
 select pair_id, q_id, r_id, distance::int as distance from w where distance < 0.8 * second""",
 )
 def hamming_ratio_match(spark, sf_dir):
-    bits = F.aggregate(F.transform(F.slice("embedding", 1, 32), lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), i).cast("long")), F.expr("0L"), lambda a, x: a + x)
+    bits = F.aggregate(F.transform(F.slice("embedding", 1, 62), lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), i).cast("long")), F.expr("0L"), lambda a, x: a + x)
     e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("pair_id"), "vec_id", bits.alias("bits"))
     q = e.filter("vec_id % 10 = 0").withColumnRenamed("vec_id", "q_id")
     r = e.filter("vec_id % 10 <> 0").withColumnRenamed("vec_id", "r_id")
@@ -452,7 +452,7 @@ def alias_coalesce(spark, sf_dir):
     return df.withColumn("_p", picked).select("frame", F.col("_p.value").alias("value"), F.col("_p.source").alias("source"))
 
 
-_UPGRADE_SQL = "case when frame % 19 = 0 then 'missing_reference' when not accepted then 'not_accepted' when confidence < 5 then 'confidence_below_5' when inliers < 8 then 'inliers_below_8' when good < 15 then 'good_below_15' when ratio < 0.18 then 'ratio_below_0.18' else 'quality_ok' end"
+_UPGRADE_SQL = "case when frame % 19 = 0 then 'no_reference' when not accepted then 'candidate_not_accepted' when confidence < 5 then 'candidate_confidence_lt_5' when inliers < 8 then 'candidate_inliers_lt_8' when good < 15 then 'candidate_good_matches_lt_15' when ratio < 0.18 then 'candidate_inlier_ratio_lt_0.18' else 'candidate_quality_ok' end"
 
 
 def _upgrade():
@@ -468,13 +468,13 @@ def quality_gate(spark, sf_dir):
     "first_passing_candidate",
     f"""with {SCORED_SQL}, q as (select *, {_UPGRADE_SQL} as reason from s),
 r as (select *, row_number() over (partition by track order by confidence desc, inliers desc, good desc, ratio desc, frame) as k from q),
-o as (select track, min(k) filter (reason = 'quality_ok') as ok from r group by track)
+o as (select track, min(k) filter (reason = 'candidate_quality_ok') as ok from r group by track)
 select track, frame, k::int as rank, reason, coalesce(k = ok, false) as chosen from r join o using (track) where ok is null or k <= ok""",
 )
 def first_passing_candidate(spark, sf_dir):
     p = scored(spark, sf_dir).withColumn("reason", _upgrade())
     _, tried = merge.first_passing(p, ["track"], "reason", ["frame"])
-    return tried.select("track", "frame", "rank", "reason", (F.col("reason") == "quality_ok").alias("chosen"))
+    return tried.select("track", "frame", "rank", "reason", (F.col("reason") == scalars.QUALITY_OK).alias("chosen"))
 
 
 @query(
@@ -544,7 +544,7 @@ _CONTEXT_SQL = f"""{_CELLED_SQL}, n as (
 
 @query(
     "context_regions",
-    f"""with {_CONTEXT_SQL} select frame, case when pc = nc then 'same_region_both_sides' when pc is not null and nc is not null then 'different_regions' when pc is not null then 'previous_only' when nc is not null then 'next_only' else 'no_context' end as context_reason,
+    f"""with {_CONTEXT_SQL} select frame, case when pc = nc then 'between_same_grid_anchors' when pc is not null and nc is not null then 'between_different_grid_anchors' when pc is not null then 'after_previous_grid_anchor' when nc is not null then 'before_next_grid_anchor' else 'no_nearby_anchor_context' end as context_reason,
   case when pc = nc or nc is null then coalesce(pc::varchar, '') when pc is null then nc::varchar else pc || ';' || nc end as context_regions from n""",
 )
 def context_regions(spark, sf_dir):
@@ -563,7 +563,7 @@ def consensus_region(spark, sf_dir):
 @query(
     "rerun_plan",
     f"""with {_CONTEXT_SQL}, r as (select *, case when pc = nc or nc is null then list_value(pc) when pc is null then list_value(nc) else list_value(pc, nc) end as ids from n)
-select frame, case when anchor then 'anchor_keep' when pc is null and nc is null then 'no_context' when not accepted then 'rejected' when not list_contains(ids, cell_id) then 'outside_context_region' when confidence < 8 then 'low_confidence' else 'keep' end as reason from r""",
+select frame, case when anchor then 'anchor_keep' when pc is null and nc is null then 'no_context_skip' when not accepted then 'rejected_or_weak_in_grid_context' when not list_contains(ids, cell_id) then 'accepted_jump_to_non_context_grid' when confidence < 8 then 'accepted_low_confidence_in_grid_context' else 'accepted_keep' end as reason from r""",
 )
 def rerun_plan(spark, sf_dir):
     d = windows.context_regions(_with_cells(spark, sf_dir), "anchor", "cell_id", "track", TRACK_ORDER)
@@ -653,42 +653,148 @@ def dominant_component(spark, sf_dir):
     return repair.keep_dominant(seeds(spark, sf_dir), "track", "frame").select("track", "frame", "component", "component_size", "seed_trusted")
 
 
-@query("seed_support")
+@query(
+    "seed_support",
+    f"""with recursive {_PAIRS_SQL}, es as (select track, a, b from k where d <= 400 and gap <= 8 and (v is null or v <= 30)),
+u as (select track, a as x, b as y from es union all select track, b, a from es),
+r(track, frame, c) as (select track, frame, frame from q union select r.track, u.y, r.c from r join u on u.track = r.track and u.x = r.frame),
+l as (select track, frame, min(c) as component from r group by all), dg as (select track, x as frame, count(*) as support_count from u group by all),
+g as (select l.track, component, count(*) as size, sum(confidence) as sc, max(query_time_s) - min(query_time_s) as span from l join q on q.track = l.track and q.frame = l.frame group by all),
+b as (select *, row_number() over (partition by track order by size desc, sc desc, span desc, component) as n, sum(size) over (partition by track) as total from g)
+select l.track, l.frame, l.component, coalesce(dg.support_count, 0) as support_count, b.total >= 4 and b.size >= 4 and b.component = l.component and coalesce(dg.support_count, 0) >= 1 as seed_trusted
+from l join b on b.track = l.track and b.n = 1 left join dg on dg.track = l.track and dg.frame = l.frame""",
+)
 def seed_support(spark, sf_dir):
     return repair.keep_supported(seeds(spark, sf_dir), "track", "frame", 400.0).select("track", "frame", "component", "support_count", "seed_trusted")
 
 
-@query("path_sweep")
+def _gap_sql(a: str, b: str) -> str:
+    return haversine_sql(f"{a}.la", f"{a}.lo", f"{b}.la", f"{b}.lo")
+
+
+def _sweep_sql(ctes: str, source: str, flag: str, kept: str, never: str, verdict: str, sweeps: int, out: tuple[str, str], context: int = 10) -> str:
+    """Rows of a track as a list, visited in order, several times over; a row sees the flags as they are then. In `verdict`: r the row, p and
+    n its flagged neighbours (null if there is none within `context` rows), i its place, ok the flags, rows, size."""
+    place = "query_time_s, frame"
+    return f"""with recursive {ctes}, src as (
+  select track, list({{'la': latitude, 'lo': longitude, 't': query_time_s, 'k': confidence, 'c': {"cell_id" if "cell_id" in ctes else "0"}}} order by {place}) as rows, list(frame order by {place}) as frames,
+    list({flag} order by {place}) as ok0, count(*)::int as size from {source} group by track),
+w(track, step, ok, why) as (
+  select track, 0, ok0, list_transform(ok0, lambda x: case when x then '{kept}' else '{never}' end) from src
+  union all
+  select track, step + 1, case when v is null then ok else list_transform(ok, lambda x, j: x and j <> i) end, case when v is null then why else list_transform(why, lambda x, j: case when j = i then v else x end) end
+  from (
+    select *, case when ok[i] then {verdict} end as v
+    from (
+      select *, rows[i] as r, rows[pi] as p, rows[ni] as n
+      from (
+        select w.track, w.step, w.ok, w.why, src.rows, src.size, w.step % src.size + 1 as i,
+          list_max(list_filter(range(greatest(1, w.step % src.size + 1 - {context}), w.step % src.size + 1), lambda j: w.ok[j])) as pi,
+          list_min(list_filter(range(w.step % src.size + 2, least(src.size, w.step % src.size + 1 + {context}) + 1), lambda j: w.ok[j])) as ni
+        from w join src on src.track = w.track where w.step < {sweeps} * src.size))))
+select w.track, unnest(frames) as frame, unnest(ok) as {out[0]}, unnest(why) as {out[1]} from w join src on src.track = w.track where w.step = {sweeps} * src.size"""
+
+
+_PATH_VERDICT = f"""case
+  when pi is not null and ni is not null and {_gap_sql("r", "p")} >= 160 and {_gap_sql("r", "n")} >= 160 and p.c = n.c and r.c <> p.c then 'isolated_grid_teleport_between_same_context'
+  when (coalesce({_gap_sql("r", "p")} >= 160, false) or coalesce({_gap_sql("r", "n")} >= 160, false))
+    and len(list_filter(range(greatest(1, i - 8), least(size, i + 8) + 1), lambda j: j <> i and ok[j] and coalesce(rows[j].c = r.c, false))) < 1 and (pi is not null and ni is not null or r.k < 18)
+    then case when pi is not null and ni is not null then 'far_jump_with_low_same_grid_support' else 'one_sided_far_jump_with_low_same_grid_support' end
+  when pi is not null and ni is not null and {_gap_sql("r", "p")} >= 160 and {_gap_sql("r", "n")} >= 160 and {_gap_sql("p", "n")} <= 120 then 'far_from_short_bridge_context' end"""
+
+
+def _speed_sql(a: str, b: str) -> str:
+    return f"(case when abs({a}.t - {b}.t) > 1e-6 then {_gap_sql(a, b)} / abs({a}.t - {b}.t) end)"
+
+
+_SEED_VERDICT = f"""case when pi is null or ni is null then null
+  when ({_gap_sql("p", "n")} <= 120 or coalesce({_speed_sql("p", "n")} <= 45, false)) and {_gap_sql("p", "r")} >= 160 and {_gap_sql("r", "n")} >= 160 then 'seed_rejected_isolated_teleport_between_reasonable_neighbors'
+  when coalesce({_speed_sql("p", "r")} >= 45, false) and coalesce({_speed_sql("r", "n")} >= 45, false) then 'seed_rejected_speed_impossible_between_neighbors' end"""
+
+
+@query("path_sweep", _sweep_sql(_CELLED_SQL, "z", "(accepted and confidence >= 0)", "path_consistent", "not_accepted", _PATH_VERDICT, 3, ("path_accepted", "path_reason")))
 def path_sweep(spark, sf_dir):
     p = _with_cells(spark, sf_dir).withColumn("path_accepted", F.col("accepted") & (F.col("confidence") >= 0))
     return repair.sweep_path(p, "track", TRACK_ORDER).select("track", "frame", "path_accepted", "path_reason")
 
 
-@query("seed_sweep")
+@query("seed_sweep", _sweep_sql(SCORED_SQL, "s", "anchor", "seed_kept", "not_a_seed", _SEED_VERDICT, 4, ("seed_trusted", "seed_reason")))
 def seed_sweep(spark, sf_dir):
     p = scored(spark, sf_dir).withColumn("seed_trusted", F.col("anchor"))
     return repair.sweep_seeds(p, "track", TRACK_ORDER).select("track", "frame", "seed_trusted", "seed_reason")
 
 
-@query("leader_clusters")
+@query(
+    "leader_clusters",
+    f"""with recursive {SCORED_SQL}, src as (
+  select track, list({{'la': latitude, 'lo': longitude, 'k': confidence, 'f': frame}} order by confidence desc, query_time_s, frame) as rows, count(*)::int as size from s where anchor group by track),
+w(track, step, regions, own) as (
+  select track, 0, []::struct(a double, o double, n double)[], []::int[] from src
+  union all
+  select track, step + 1, case when best is null then list_append(regions, {{'a': r.la, 'o': r.lo, 'n': 1e0}}) else list_transform(regions, lambda g, j: case when j = best then {{'a': g.a + r.la, 'o': g.o + r.lo, 'n': g.n + 1e0}} else g end) end,
+    list_append(own, coalesce(best, len(regions) + 1)::int)
+  from (
+    select *, case when list_min(ds) <= 120 then list_position(ds, list_min(ds)) end as best
+    from (
+      select w.*, src.rows[w.step + 1] as r, list_transform(w.regions, lambda g: {haversine_sql("src.rows[w.step + 1].la", "src.rows[w.step + 1].lo", "g.a / g.n", "g.o / g.n")}) as ds
+      from w join src on src.track = w.track where w.step < src.size))),
+a as (select w.track, unnest(src.rows) as r, unnest(w.own) as age from w join src on src.track = w.track where w.step = src.size),
+g as (select track, age, count(*) as anchor_count, avg(r.la) as latitude, avg(r.lo) as longitude, median(r.k) as median_confidence, min(r.f) as min_frame, max(r.f) as max_frame from a group by track, age)
+select track, (row_number() over (partition by track order by anchor_count desc, median_confidence desc, age))::int as region_id, anchor_count, round(latitude, 8) as latitude, round(longitude, 8) as longitude,
+  round(median_confidence, 6) as median_confidence, min_frame, max_frame from g""",
+)
 def leader_clusters(spark, sf_dir):
     a = seeds(spark, sf_dir).withColumnRenamed("frame", "anchor_id")
-    return repair.regions_of(repair.leader_clusters(a, "track"), "track")
+    return _r(repair.regions_of(repair.leader_clusters(a, "track"), "track"), {"latitude": 8, "longitude": 8, "median_confidence": 6})
 
 
-@query("tail_rescue")
+@query(
+    "tail_rescue",
+    f"""with recursive {SCORED_SQL}, h as (select *, anchor and percent_rank() over (partition by track order by query_time_s, frame) < 0.7 as trusted from s),
+last as (select track, arg_max({{'la': latitude, 'lo': longitude, 't': query_time_s}}, (query_time_s, frame)) as e from h where trusted group by track),
+src as (
+  select h.track, list({{'la': latitude, 'lo': longitude, 't': query_time_s, 'f': frame}} order by query_time_s desc, frame desc) as rows, count(*)::int as size, any_value(e) as e
+  from h join last on last.track = h.track where anchor and not trusted and query_time_s > e.t and confidence >= 8 group by h.track),
+w(track, step, r, chain) as (
+  select track, 1, rows[1], [rows[1].f] from src
+  union all
+  select track, step + 1, case when ok then x else r end, case when ok then list_append(chain, x.f) else chain end
+  from (
+    select *, {_gap_sql("x", "r")} <= 420 and coalesce({_speed_sql("x", "r")} <= 35, true) as ok
+    from (select w.*, src.rows[w.step + 1] as x from w join src on src.track = w.track where w.step < src.size))),
+kept as (select w.track, w.chain from w join src on src.track = w.track where w.step = src.size and {_gap_sql("e", "r")} <= 420 and coalesce({_speed_sql("e", "r")} <= 35, true))
+select h.track, h.frame, h.trusted or coalesce(list_contains(kept.chain, h.frame), false) as seed_trusted, coalesce(list_contains(kept.chain, h.frame), false) as tail_rescued from h left join kept on kept.track = h.track""",
+)
 def tail_rescue(spark, sf_dir):
     half = F.percent_rank().over(Window.partitionBy("track").orderBy(*TRACK_ORDER))
     p = scored(spark, sf_dir).withColumn("initial_seed", F.col("anchor")).withColumn("seed_trusted", F.col("anchor") & (half < 0.7))
     return repair.rescue_tail(p, "track", TRACK_ORDER, gap_s=1e9).select("track", "frame", "seed_trusted", "tail_rescued")
 
 
-@query("path_windows")
+_EXPECTED_SQL = _FILL_SQL.replace("case when accepted", "case when anchor").replace("from p)", "from s)")
+_NOT_SEEDS_SQL = f"""{SCORED_SQL}, {_EXPECTED_SQL},
+x as (select track, frame, query_time_s, case filtered_method when 'interpolate_previous_next' then (1 - al) * b.a + al * n.a when 'hold_previous' then b.a when 'hold_next' then n.a end as latitude,
+  case filtered_method when 'interpolate_previous_next' then (1 - al) * b.o + al * n.o when 'hold_previous' then b.o when 'hold_next' then n.o end as longitude from m where filtered_method not in ('raw_kept', 'none')),
+y as (select track, frame, query_time_s, {_XY_SQL} from x)"""
+
+
+@query(
+    "path_windows",
+    f"""with recursive {_NOT_SEEDS_SQL}, o as (select *, row_number() over (partition by track order by query_time_s, frame) as rn from y),
+w(track, rn, frame, e, u, id, n, se, su) as (
+  select track, rn, frame, east_m, north_m, 1, 1, east_m, north_m from o where rn = 1
+  union all
+  select track, rn, frame, east_m, north_m, case when new then id + 1 else id end, case when new then 1 else n + 1 end, case when new then east_m else se + east_m end, case when new then north_m else su + north_m end
+  from (
+    select o.track, o.rn, o.frame, o.east_m, o.north_m, w.id, w.n, w.se, w.su, w.n >= 45 or sqrt(power(o.east_m - w.se / w.n, 2) + power(o.north_m - w.su / w.n, 2)) > 120 as new
+    from w join o on o.track = w.track and o.rn = w.rn + 1))
+select track, id::int as path_window_id, count(*) as frame_count, min(frame) as min_query_frame, max(frame) as max_query_frame, round(avg(e), 3) as east_m, round(avg(u), 3) as north_m from w group by track, id""",
+)
 def path_windows(spark, sf_dir):
     p = windows.expected_path(scored(spark, sf_dir).withColumn("seed_trusted", F.col("anchor")), "track", TRACK_ORDER, "query_time_s")
     wanted = p.filter(scalars.marked_for_rerun("expected_latitude", "accepted", "seed_trusted", "anchor"))
     w = repair.path_windows(joins.with_local_xy(wanted, ORIGIN, "expected_latitude", "expected_longitude"), "track", TRACK_ORDER)
-    return repair.window_stats(w, "track", "frame")
+    return _r(repair.window_stats(w, "track", "frame"), {"east_m": 3, "north_m": 3})
 
 
 def filter_input(spark, sf_dir):
@@ -719,16 +825,48 @@ def ema_track_filter(spark, sf_dir):
     return _r(out.select("track", "frame", "filtered_latitude", "filter_accepted", "filter_reason"), {"filtered_latitude": 7})
 
 
-@query("online_track_filter")
+def _filter_sql(ctes: str, candidates: str, frame: str, time: str, tie: str, advance: bool, raw: bool) -> str:
+    """The track filter as a fold over frames, each with the list of its candidates (columns latitude, longitude, matched_flight, inliers, ratio, vis, g)."""
+    away = haversine_sql("w.la", "w.lo", "c.la", "c.lo")
+    allowed = "(greatest(55e0, 36e0 * greatest(src.t - w.t, 0.1e0)) * case when c.i >= 24 then 1.8e0 else 1e0 end)"
+    far = f"({away} > greatest(180e0, 2.2e0 * {allowed}) and not (c.i >= 24 and c.q >= 0.35e0))"
+    judged = f"""list_transform(src.cs, lambda c: case when w.la is null then {{'la': c.la, 'lo': c.lo, 'f': c.f, 'why': c.g, 'd': null::double, 'v': c.v, 's': c.v}}
+      else {{'la': c.la, 'lo': c.lo, 'f': c.f, 'why': case when {far} then 'temporal_jump_rejected' else c.g end, 'd': {away}, 'v': c.v, 's': c.v - 1.3e0 * {away} / {allowed} + case when c.f = w.f then 0.2e0 else 0e0 end}} end)"""
+    held = "src.t" if advance else "w.t"
+    return f"""with recursive {ctes}, fr as (
+  select track, {frame} as fr, {time} as t, list({{'la': latitude, 'lo': longitude, 'f': matched_flight, 'i': inliers, 'q': ratio, 'v': vis, 'g': g}} order by {tie}) as cs from {candidates} group by all),
+src as (select *, row_number() over (partition by track order by t, fr) as rn from fr),
+w(track, rn, la, lo, t, f, out) as (
+  select track, 0, null::double, null::double, null::double, null::varchar, null::struct(fr bigint, t double, la double, lo double, ok boolean, why varchar, d double, v double, s double) from src where rn = 1
+  union all
+  select track, rn, case when not ok then la else na end, case when not ok then lo else no end, case when ok or la is null then case when ok then nt end else ht end, case when ok then best.f else f end,
+    {{'fr': fr, 't': nt, 'la': case when ok then na when la is not null then la {"else best.la" if raw else ""} end, 'lo': case when ok then no when la is not null then lo {"else best.lo" if raw else ""} end, 'ok': ok,
+      'why': case when ok or la is null then best.why else best.why || '_held_last' end, 'd': best.d, 'v': best.v, 's': best.s}}
+  from (
+    select *, best.why = 'accepted' as ok, case when la is null then best.la else 0.65e0 * la + 0.35e0 * best.la end as na, case when la is null then best.lo else 0.65e0 * lo + 0.35e0 * best.lo end as no
+    from (
+      select *, js[list_position(list_transform(js, lambda x: x.s), list_max(list_transform(js, lambda x: x.s)))] as best
+      from (
+        select src.track, src.rn, src.fr, src.t as nt, {held} as ht, w.la, w.lo, w.f, {judged} as js
+        from w join src on src.track = w.track and src.rn = w.rn + 1))))
+select track, out.fr as {frame}, round(out.t, 3) as query_time_s, round(out.la, 7) as filtered_latitude, round(out.lo, 7) as filtered_longitude, out.ok as filter_accepted, out.why as filter_reason,
+  round(out.d, 3) as filter_distance_m, round(out.v, 6) as filter_visual_score, round(out.s, 6) as filter_fused_score from w where rn > 0"""
+
+
+_FILTERED = {"query_time_s": 3, "filtered_latitude": 7, "filtered_longitude": 7, "filter_distance_m": 3, "filter_visual_score": 6, "filter_fused_score": 6}
+_JUDGED_SQL = f"{PREDICTIONS_SQL}, v as (select *, {_VISUAL_SQL} as vis, {_GATE_SQL} as g, frame // 50 as shot, (frame // 50) * 30e0 as shot_s from p)"
+
+
+@query("online_track_filter", _filter_sql(_JUDGED_SQL, "v", "shot", "shot_s", "frame", True, True))
 def online_track_filter(spark, sf_dir):
     """Several candidates a frame: the neighbouring events of a track count as candidates of one shot."""
     p = filter_input(spark, sf_dir).withColumns({"shot": F.floor(F.col("frame") / 50), "query_time_s": F.floor(F.col("frame") / 50).cast("double") * 30})
-    return track.filter_tracks(p, "track", "shot", "frame", track.FilterConfig(raw_without_state=True))
+    return _r(track.filter_tracks(p, "track", "shot", "frame", track.FilterConfig(raw_without_state=True)), _FILTERED)
 
 
-@query("refilter_no_clock")
+@query("refilter_no_clock", _filter_sql(_JUDGED_SQL, "v", "frame", "query_time_s", "frame", False, False))
 def refilter_no_clock(spark, sf_dir):
-    return track.filter_tracks(filter_input(spark, sf_dir), "track", "frame", "frame", track.FilterConfig(advance_on_hold=False))
+    return _r(track.filter_tracks(filter_input(spark, sf_dir), "track", "frame", "frame", track.FilterConfig(advance_on_hold=False)), _FILTERED)
 
 
 # -- merging -------------------------------------------------------------------------------------------------------------
@@ -781,7 +919,7 @@ def region_gated_candidates(spark, sf_dir):
 @query(
     "conservative_upgrade",
     f"""with {SCORED_SQL}, q as (select *, {_UPGRADE_SQL} as reason, frame - frame % 10 as bf from s where frame % 10 <> 0),
-k as (select *, row_number() over (partition by bf order by confidence desc, inliers desc, good desc, ratio desc, frame) as n from q where reason = 'quality_ok'),
+k as (select *, row_number() over (partition by bf order by confidence desc, inliers desc, good desc, ratio desc, frame) as n from q where reason = 'candidate_quality_ok'),
 j as (select b.frame, b.latitude, b.accepted, k.latitude as rla, k.inliers as ci, k.bf, {haversine_sql("b.latitude", "b.longitude", "k.latitude", "k.longitude")} as d from s b left join k on k.bf = b.frame and k.n = 1 where b.frame % 10 = 0)
 select frame, case when accepted then 'kept' when bf is null then 'no_quality_candidate' when ci < 8 then 'weak_cluster' when d > 400 then 'too_far_from_path' else 'upgraded' end as upgrade_status,
   round(case when not accepted and bf is not null and ci >= 8 and d <= 400 then rla else latitude end, 8) as latitude from j""",
@@ -825,17 +963,17 @@ def ordered_distinct(spark, sf_dir):
 
 @query(
     "frame_list_expand",
-    """select distinct unnest(range(a, a + 21, 7)) as frame from (select event_id * 10 as a from events where event_id % 500 = 0) union select event_id as frame from events where event_id % 500 = 0""",
+    """select distinct unnest(range(a, a + 21, 7)) as frame from (select event_id * 10 as a from events) union select event_id as frame from events union select event_id + 3 from events""",
 )
 def frame_list_expand(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id % 500 = 0")
-    lines = e.select(F.concat(F.col("event_id") * 10, F.lit("-"), F.col("event_id") * 10 + 20, F.lit(":7, "), "event_id", F.lit(" # from an event")).alias("value"))
+    e = table(spark, sf_dir, "events")
+    lines = e.select(F.concat(F.col("event_id") * 10, F.lit("-"), F.col("event_id") * 10 + 20, F.lit(":7, "), "event_id", F.lit("  "), F.col("event_id") + 3, F.lit(" # from an event")).alias("value"))
     return frame_lists.sorted_frames(lines)
 
 
 @query(
     "kml_paths",
-    f"""with {PREDICTIONS_SQL} select track, string_agg(printf('%.8f,%.8f,%.2f', longitude, latitude, 0e0), ' ' order by query_time_s, frame) as coordinates, count(*) as n_points from p where accepted group by track""",
+    f"""with {PREDICTIONS_SQL} select track, string_agg(printf('%.8f,%.8f,%.3f', longitude, latitude, 0e0), ' ' order by query_time_s, frame) as coordinates, count(*) as n_points from p where accepted group by track""",
 )
 def kml_paths(spark, sf_dir):
     return kml.path_lines(predictions(spark, sf_dir).filter("accepted"), "track", TRACK_ORDER)
@@ -843,36 +981,54 @@ def kml_paths(spark, sf_dir):
 
 @query(
     "numbered_points",
-    f"""with {PREDICTIONS_SQL}, n as (select track, frame, row_number() over (order by track, frame) as number from p where event_type = 'signup') select frame, number::int as number, case when number < 1000 then lpad(number::varchar, 3, '0') else number::varchar end as label from n""",
+    f"""with {PREDICTIONS_SQL}, n as (select track, frame, row_number() over (order by track, frame) as number from p) select frame, number, case when number < 1000 then lpad(number::varchar, 3, '0') else number::varchar end as label from n""",
 )
 def numbered_points(spark, sf_dir):
-    p = predictions(spark, sf_dir).filter("event_type = 'signup'")
-    return kml.numbered_points(p, ["track", "frame"]).select("frame", "number", "label")
+    return kml.numbered_points(predictions(spark, sf_dir), ["track", "frame"]).select("frame", "number", "label")
 
 
 # -- the entry points ----------------------------------------------------------------------------------------------------
 
 
-@query("reference_index")
+@query(
+    "reference_index",
+    f"""with {_HEADINGS_SQL}, g as (select *, coalesce(nullif(inliers, 0), 80)::double / tan(radians(45e0)) as off from h),
+d as (select *, radians(latitude) as f, radians(heading_deg) as th, off / 6371000e0 as a, sin(radians(latitude)) * cos(off / 6371000e0) + cos(radians(latitude)) * sin(off / 6371000e0) * cos(radians(heading_deg)) as sn from g)
+select row_number() over (order by track::varchar, query_time_s, frame) - 1 as ref_index, track::varchar as flight_id, frame as frame_index, round(query_time_s, 3) as video_time_s, round(latitude, 8) as latitude, round(longitude, 8) as longitude, inliers::double as rel_alt,
+  round(heading_deg, 6) as heading_deg, round(degrees(asin(greatest(-1e0, least(1e0, sn)))), 8) as center_lat, round(longitude + degrees(atan2(sin(th) * sin(a) * cos(f), cos(a) - sin(f) * sn)), 8) as center_lon, round(off, 4) as center_offset_m from d""",
+)
 def reference_index(spark, sf_dir):
     p = predictions(spark, sf_dir)
     frames = p.select(F.col("track").cast("string").alias("flight_id"), F.col("frame").alias("frame_index"), F.col("query_time_s").alias("video_time_s"), "latitude", "longitude", F.col("inliers").cast("double").alias("rel_alt"))
-    return pipelines.build_reference_index(frames, 45.0, default_altitude=80.0)
+    index = pipelines.build_reference_index(frames, 45.0, default_altitude=80.0)
+    return _r(index, {"video_time_s": 3, "latitude": 8, "longitude": 8, "heading_deg": 6, "center_lat": 8, "center_lon": 8, "center_offset_m": 4})
+
+
+_LOCALIZED_SQL = """t as (
+  select a.vec_id % 4 as track, a.vec_id as frame, a.vec_id::double as query_time_s, b.vec_id as r, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as similarity,
+    row_number() over (partition by a.vec_id order by list_cosine_similarity(a.embedding::double[], b.embedding::double[]) desc, b.vec_id) as rank
+  from embeddings a, embeddings b where a.vec_id % 10 = 0),
+v as (
+  select track, frame, query_time_s, rank, (r % 3)::varchar as matched_flight, 32.10e0 + 0.005e0 * sin(r * 1.7e0) as latitude, 35.20e0 + 0.005e0 * cos(r * 2.3e0) as longitude, r % 40 as inliers, (r % 40) / 40e0 as ratio,
+    1.35e0 * ln(1 + r % 40) + 0.45e0 * ln(1 + 2 * (r % 40)) + 1.1e0 * similarity + 1.25e0 * (r % 40) / 40e0 as vis,
+    case when 2 * (r % 40) < 12 then 'not_enough_good_matches' when r % 40 < 12 then 'not_enough_inliers' when (r % 40) / 40e0 < 0.25 then 'weak_inlier_ratio' else 'accepted' end as g
+  from t where rank <= 5)"""
 
 
-@query("localize_tracks")
+@query("localize_tracks", _filter_sql(_LOCALIZED_SQL, "v", "frame", "query_time_s", "rank", True, True))
 def localize_tracks(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("descriptor"))
     lat, lon = F.lit(32.10) + F.lit(0.005) * F.sin(F.col("vec_id") * F.lit(1.7)), F.lit(35.20) + F.lit(0.005) * F.cos(F.col("vec_id") * F.lit(2.3))
     index = e.select(F.col("vec_id").alias("ref_index"), "descriptor", (F.col("vec_id") % 3).cast("string").alias("flight_id"), lat.alias("center_lat"), lon.alias("center_lon"), lat.alias("drone_lat"), lon.alias("drone_lon"))
     queries = e.filter("vec_id % 10 = 0").select((F.col("vec_id") % 4).alias("track"), F.col("vec_id").alias("frame"), F.col("vec_id").cast("double").alias("query_time_s"), F.lit(1.0).alias("query_scale"), "descriptor")
-    pairs = queries.select("track", "frame").join(index.select("ref_index", (F.floor(F.col("ref_index") / 10) * 10).alias("frame")), "frame")
+    # the verifier's figures of every retrieved reference, made up from its number
+    hits = retrieval.multiscale_topk(queries.select(F.col("frame").alias("query_id"), "query_scale", "descriptor"), index.select("ref_index", "descriptor"), 5)
     inliers = (F.col("ref_index") % 40).cast("long")
-    scores = pairs.select(
-        "track", "frame", "ref_index", F.lit(True).alias("found"), (inliers * 2).alias("good"), inliers.alias("inliers"), (inliers / 40.0).alias("ratio"), F.lit(30.0).alias("mean_distance"),
+    scores = hits.select(
+        (F.col("query_id") % 4).alias("track"), F.col("query_id").alias("frame"), "ref_index", F.lit(True).alias("found"), (inliers * 2).alias("good"), inliers.alias("inliers"), (inliers / 40.0).alias("ratio"), F.lit(30.0).alias("mean_distance"),
         F.lit(True).alias("center_inside"), F.lit(True).alias("quad_valid"), F.lit(0.1).alias("quad_area"), F.lit(0.1).alias("ref_area"), F.lit(0.3).alias("ref_width"), F.lit(0.3).alias("ref_height"), F.lit(0.1).alias("query_area"),
     )
-    return pipelines.localize(queries, index, scores, 5)
+    return _r(pipelines.localize(queries, index, scores, 5), _FILTERED)
 
 
 def _plan(spark, sf_dir):

@@ -1,4 +1,4 @@
-"""Lists of frame numbers as text: `a`, `a-b`, `a-b:step`, commas, comments from # on."""
+"""Lists of frame numbers as text: `a`, `a-b`, `a-b:step`, commas (and, in query lists, blanks) between, comments from # on."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def expand_frames(lines: DataFrame, text_col: str = "value", order: str | None = None) -> DataFrame:
-    """(frame, pos): each frame of the list, the first place it appears at; malformed entries raise."""
+def expand_frames(lines: DataFrame, text_col: str = "value", order: str | None = None, blanks: bool = False) -> DataFrame:
+    """(frame, pos): each frame of the list, the first place it appears at; malformed entries raise. `blanks`: blanks part entries too."""
     pos = F.col(order) if order else F.monotonically_increasing_id()
     text = F.regexp_replace(F.col(text_col), "#.*$", "")
-    items = lines.select(pos.alias("_line"), F.posexplode(F.split(text, ",")).alias("_at", "item"))
+    items = lines.select(pos.alias("_line"), F.posexplode(F.split(text, r"[,\s]" if blanks else ",")).alias("_at", "item"))
     items = items.withColumn("item", F.trim("item")).filter("item <> ''")
     part = lambda i: F.regexp_extract("item", r"^(\d+)(?:\s*-\s*(\d+)(?:\s*:\s*(\d+))?)?$", i)
     first = part(1).try_cast("long")
@@ -22,8 +22,8 @@ def expand_frames(lines: DataFrame, text_col: str = "value", order: str | None =
 
 
 def sorted_frames(lines: DataFrame, text_col: str = "value") -> DataFrame:
-    """Distinct frames in ascending order."""
-    return expand_frames(lines, text_col).select("frame").orderBy("frame")
+    """Distinct frames of a query list in ascending order."""
+    return expand_frames(lines, text_col, blanks=True).select("frame").orderBy("frame")
 
 
 def listed_frames(lines: DataFrame, text_col: str = "value", order: str | None = None) -> DataFrame:
@@ -32,7 +32,11 @@ def listed_frames(lines: DataFrame, text_col: str = "value", order: str | None =
 
 
 def read_frame_list(spark: SparkSession, path: str) -> DataFrame:
-    return sorted_frames(spark.read.text(path))
+    """Distinct frames of a query list in ascending order; a list without any raises."""
+    frames = sorted_frames(spark.read.text(path))
+    if frames.isEmpty():
+        raise ValueError(f"no frames in {path}")
+    return frames
 
 
 def write_frame_list(df: DataFrame, frame: str, path: str) -> None:

@@ -10,14 +10,14 @@ from ..functions.scalars import is_accepted
 
 def xml_text(c) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         c = F.replace(c, F.lit(plain), F.lit(escaped))
     return c
 
 
 def coordinate(lon, lat, alt) -> Column:
-    """lon,lat,alt with eight, eight and two decimals; a null altitude is 0."""
-    return F.format_string("%.8f,%.8f,%.2f", F.col(lon), F.col(lat), F.coalesce(F.col(alt), F.lit(0.0)) if isinstance(alt, str) else alt)
+    """lon,lat,alt with eight, eight and three decimals; a null altitude is 0."""
+    return F.format_string("%.8f,%.8f,%.3f", F.col(lon), F.col(lat), F.coalesce(F.col(alt), F.lit(0.0)) if isinstance(alt, str) else alt)
 
 
 def path_lines(points: DataFrame, path: str, order: list[str], alt: str | None = None) -> DataFrame:
@@ -29,17 +29,29 @@ def path_lines(points: DataFrame, path: str, order: list[str], alt: str | None =
 
 
 def placemarks(lines: DataFrame, path: str, start_end: bool = True) -> DataFrame:
-    """KML fragments of the paths, with marks at start and end if wanted."""
+    """KML fragments of the paths, with marks at start and end if wanted. A column `layer`, where there is one, is kept."""
     name = xml_text(F.col(path).cast("string"))
     line = F.concat(F.lit("<Placemark><name>"), name, F.lit("</name><LineString><tessellate>1</tessellate><coordinates>"), F.col("coordinates"), F.lit("</coordinates></LineString></Placemark>"))
     ends = F.split("coordinates", " ")
     mark = lambda label, at: F.concat(F.lit("<Placemark><name>"), name, F.lit(f" {label}</name><Point><coordinates>"), F.element_at(ends, at), F.lit("</coordinates></Point></Placemark>"))
-    return lines.select(path, (F.concat(line, mark("start", 1), mark("end", -1)) if start_end else line).alias("kml"))
+    return lines.select(*[c for c in ("layer",) if c in lines.columns], path, (F.concat(line, mark("start", 1), mark("end", -1)) if start_end else line).alias("kml"))
+
+
+def layers(tables: dict[str, DataFrame], order: list[str], alt: str | None = None) -> DataFrame:
+    """(layer, name, coordinates, n_points) of several named tables of points, one line each, in the order given; empty ones are left out."""
+    out = None
+    for number, (name, points) in enumerate(tables.items()):
+        one = path_lines(points.withColumn("name", F.lit(name)), "name", order, alt).select(F.lit(number).alias("layer"), "name", "coordinates", "n_points")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no layers")
+    return out
 
 
 def document(marks: DataFrame, path: str, name: str) -> DataFrame:
-    """One row: the whole document, paths in order of their key."""
-    body = marks.agg(F.sort_array(F.collect_list(F.struct(path, "kml"))).alias("m")).select(F.array_join(F.transform("m", lambda x: x["kml"]), "\n").alias("b"))
+    """One row: the whole document, paths in order of their layer, if they have one, and key."""
+    place = [c for c in ("layer",) if c in marks.columns]
+    body = marks.agg(F.sort_array(F.collect_list(F.struct(*place, path, "kml"))).alias("m")).select(F.array_join(F.transform("m", lambda x: x["kml"]), "\n").alias("b"))
     head = '<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>'
     return body.select(F.concat(F.lit(head), xml_text(F.lit(name)), F.lit("</name>\n"), "b", F.lit("\n</Document></kml>\n")).alias("value"))
 
@@ -50,15 +62,22 @@ def write_kml(doc: DataFrame, path: str) -> None:
 
 def numbered_points(points: DataFrame, order: list[str], accepted: str | None = None) -> DataFrame:
     """Placed (and, where asked for, accepted) points with their number in order, from 1, and a label of three digits or more."""
-    from pyspark.sql import Window
+    from ..operators.windows import number_rows
 
     placed = points.filter("latitude is not null and longitude is not null")
     if accepted:
         placed = placed.filter(is_accepted(accepted))
-    numbered = placed.withColumn("number", F.row_number().over(Window.orderBy(*order)))
+    numbered = number_rows(placed, order, "number")
     return numbered.withColumn("label", F.when(F.col("number") < 1000, F.lpad(F.col("number").cast("string"), 3, "0")).otherwise(F.col("number").cast("string")))
 
 
+def prediction_target(predictions: DataFrame, order: list[str]) -> str:
+    """What the first labelled row of a prediction table says was predicted: center or drone, else unknown."""
+    said = F.lower(F.trim(F.col("prediction_target").cast("string")))
+    row = predictions.filter(said.isin("center", "drone")).orderBy(*order).select(said.alias("t")).first()
+    return row["t"] if row else "unknown"
+
+
 def prediction_points(predictions: DataFrame, order: list[str], stride: int = 1, least_inliers: int | None = None, accepted_only: bool = False, use_filtered: bool = True) -> DataFrame:
     """Points of a prediction table: every n-th row first, then the filters; filtered coordinates where asked for, else the predicted ones."""
     from ..operators.windows import stride_sample

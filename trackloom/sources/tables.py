@@ -18,19 +18,35 @@ def clean_header(names: list[str]) -> list[str]:
     return out
 
 
-def read_table(spark: SparkSession, path: str, keep_file: bool = False) -> DataFrame:
-    """All columns as text, short rows padded with empty text, header cleaned. Files of one call share the first one's header."""
-    head = spark.read.text(path).filter("trim(value) <> ''").limit(1).collect()
-    if not head:
-        return spark.createDataFrame([], "unnamed string")
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header line to the files that begin with it; files without a line that says something are left out."""
+    lines = spark.read.text(path).filter("trim(value) <> ''")
+    if len(lines.inputFiles()) == 1:
+        first = lines.limit(1).collect()
+        return {first[0][0]: [path]} if first else {}
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    heads = lines.select("value", F.col("_metadata.file_path").alias("file"), at.alias("at")).groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    found: dict[str, list[str]] = {}
+    for file, head in heads.orderBy("file").collect():
+        found.setdefault(head, []).append(file)
+    return found
+
+
+def read_table(spark: SparkSession, path: str, keep_file: bool = False, multiline: bool = True) -> DataFrame:
+    """All columns as text, short rows padded with empty text, header cleaned. Files with other headers are read under their own and united
+    by column name; columns that a file lacks are null. A quoted value may hold line breaks, which makes each file one task; without
+    `multiline` large files are split."""
     import csv
 
-    names = clean_header(next(csv.reader([head[0][0]])))
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True).option("escape", '"').option("multiLine", True)
-    schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
-    df = reader.schema(schema).csv(path)
-    cols = [F.coalesce(F.col(f"c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)]
-    return df.select(*cols, *([F.col("_metadata.file_path").alias("_file")] if keep_file else []))
+    out = None
+    for head, files in _headers(spark, path).items():
+        names = clean_header(next(csv.reader([head])))
+        reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True).option("escape", '"').option("multiLine", multiline)
+        df = reader.schema(", ".join(f"`c{i}` string" for i in range(len(names)))).csv(files)
+        cols = [F.coalesce(F.col(f"c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)]
+        one = df.select(*cols, *([F.col("_metadata.file_path").alias("_file")] if keep_file else []))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return spark.createDataFrame([], "unnamed string") if out is None else out
 
 
 def read_tables(spark: SparkSession, paths: list[str], keep_file: bool = True) -> DataFrame:
@@ -89,6 +105,15 @@ def read_reference_index(spark: SparkSession, path: str, flights: list[str] | No
     return df.filter(F.col("flight_id").isin(flights)) if flights is not None else df
 
 
+def reference_subset(index: DataFrame, wanted: DataFrame, column: str = "ref_index") -> DataFrame:
+    """The rows of an index whose number is among the wanted ones, numbered anew from 0 in their old order; the old number stays as source_ref_index."""
+    from ..operators.windows import number_rows
+
+    ids = wanted.select(F.col(column).cast("long").alias("_wanted")).distinct()
+    kept = index.join(ids, F.col("ref_index") == F.col("_wanted"), "left_semi").withColumnRenamed("ref_index", "source_ref_index")
+    return number_rows(kept, ["source_ref_index"], "ref_index").withColumn("ref_index", F.col("ref_index") - 1)
+
+
 def import_npz(spark: SparkSession, path: str) -> DataFrame:
     """A reference index from a compressed archive of parallel arrays. The archive is read where it lies, by the driver."""
     import io
