@@ -207,6 +207,14 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_keeps_columns_of_clashing_names(spark):
+    rows = [(1, "one line\nother line", 7, "a", "b", "c", "d"), (2, "One line", 8, "e", "f", "g", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, _id string, _lines string, _n_dropped string, row string").withColumn("lines", F.lit(1)).withColumn("n_lines", F.lit(2))
+    left = line_dedup.dedup_lines(df)
+    assert left.columns == df.columns and [tuple(r)[:7] for r in left.collect()] == [rows[0]]
+    assert set(line_dedup.strip_lines(df).columns) == {*df.columns, "_n_lines"}
+
+
 def test_edit_distance():
     rng = random.Random(4)
 
@@ -224,6 +232,24 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == plain(a, b)
 
 
+def test_edit_distances_side_by_side():
+    rng = random.Random(14)
+    pairs = [tuple("".join(rng.choice("abé中 😀") for _ in range(rng.choice([0, 1, 5, 16, 63, 64, 65, 130, 300]))) for _ in range(2)) for _ in range(500)]
+    for a, b in pairs[:200]:
+        c = list(a)
+        for _ in range(len(a) // 12):
+            c[rng.randrange(len(c))] = rng.choice("abxyz")
+        pairs.append((a, "".join(c)))
+    got = line_dedup.edit_distances([a for a, _ in pairs], [b for _, b in pairs])
+    assert got.tolist() == [line_dedup.edit_distance(a, b) for a, b in pairs]
+    assert line_dedup.edit_distances([], []).tolist() == []
+    for share in (0.1, 0.3):
+        banded = line_dedup.edit_distances([a for a, _ in pairs], [b for _, b in pairs], share)
+        for (a, b), whole, near in zip(pairs, got.tolist(), banded.tolist()):
+            most = share * max(len(a), len(b)) + 1e-9
+            assert near == whole if whole <= most else near > most
+
+
 def test_bigram_parity_bounds_edits():
     rng = random.Random(6)
     for _ in range(500):
@@ -298,6 +324,38 @@ def test_schedule_spreads_sources(spark):
             assert abs(part[k] - c / 10) <= 0.02 * n / 10 + 4
 
 
+def test_slots_order_the_mix(spark):
+    """Every stretch of the mix holds the sources in their shares, which blocks in any other order than the schedule's would not."""
+    rng = random.Random(3)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(20, 60))), "abc"[min(2, i % 7 // 2)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    slots = 2048
+    placed = mixing.taken_tokens(df, slots=slots).collect()
+    targets = {r.skey[1:]: r.target for r in placed}
+    total = sum(targets.values())
+    mixed = mixing.mix(df, slots=slots, with_slot=True)
+    parts = [[(r.mix_slot, r.source, len(words(r.text))) for r in part] for part in mixed.rdd.glom().collect()]
+    order = [r for part in parts for r in part]
+    assert [s for s, *_ in order] == sorted(s for s, *_ in order) and len([p for p in parts if p]) > 1
+    by_slot = sorted(order)
+    for begin in range(0, slots, slots // 8):
+        own = collections.Counter()
+        for slot, source, n in by_slot:
+            if begin <= slot < begin + slots // 8:
+                own[source] += n
+        for source, target in targets.items():
+            assert abs(own[source] / sum(own.values()) - target / total) < 0.03, (begin, source)
+    seen = collections.defaultdict(list)
+    for r in mixed.collect():
+        seen[r.doc_id].append(r.mix_slot)
+    for r in placed:
+        assert len(seen[r.doc_id]) == r.n_reads and (r.n_reads == 0 or (min(seen[r.doc_id]), max(seen[r.doc_id])) == (r.first_slot, r.last_slot))
+    plan = mixing.schedule(mixing.source_targets(spark.createDataFrame([("0a", 100), ("0b", 100)], "skey string, size long")), 64).collect()
+    turn = sorted((r.slot, r.skey) for r in plan)
+    weights = [1 / 3, 2 / 3]  # of the two sources, by the golden ratio's multiples
+    assert [k for _, k in turn] == ["0a" if ((s + 1) * mixing.GOLDEN) % 1 < weights[0] else "0b" for s, _ in turn]
+
+
 def test_mix_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.taken_tokens(none).count() == 0 and mixing.mix(none).count() == 0
@@ -337,6 +395,16 @@ def test_recall_and_scores(spark):
     assert got[1000] == want[1000] and all(len(v) == 5 for v in got.values())
 
 
+def test_exact_search_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1200, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in sorted(ann.nearest(df, F.col("id") % 50 == 0, exact=True).collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append(r.vec_id)
+    assert got == brute_nearest(np.arange(1200), x, [i for i in range(1200) if i % 50 == 0])
+
+
 def test_nearest_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (100, None)]

@@ -44,11 +44,14 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that every executor sees: spark.checkpoint.dir. A temporary one only where that is unset on a single machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
         folder = tempfile.mkdtemp(prefix="trackloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
