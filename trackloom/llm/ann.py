@@ -6,8 +6,10 @@ column blocks; after each block a hypothesis test compares the distance estimate
 query's fifth best, and a candidate that is surely (at `EPSILON`) farther is given up. Survivors are scored exactly, in
 double precision on the original vectors, and the best of all lists are merged.
 
-The centroids are fitted on `SAMPLE` vectors (a documented bound); every vector is indexed. A list wider than `BLOCK`,
-say of one vector that a third of all rows repeat, is split into blocks that are scanned apart.
+The number of lists grows as the root of the number of vectors, up to `MOST_LISTS`. The centroids are fitted on `SAMPLE`
+vectors, or `SAMPLE_A_LIST` a list (a documented bound); every vector is indexed. A list wider than `BLOCK`, say of one
+vector that a third of all rows repeat, is split into blocks that are scanned apart. With `exact` all lists are probed and
+no candidate is given up before its last coordinate: the way for those whom the approximation does not suit.
 
 Defined results
 * null, zero or non-finite vectors, null components, null ids, and vectors of another length than most take no part.
@@ -23,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
-LISTS = 128
-VECTORS_A_LIST = 64
+MOST_LISTS = 4096
 SAMPLE = 8192
+SAMPLE_A_LIST = 16
 PROBE_SHARE = 0.62
 LEAST_PROBES = 8
 BLOCK = 2048
@@ -59,8 +61,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def fit_centroids(vectors: DataFrame, dim: int, lists: int, seed: int = SEED, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means on the SAMPLE vectors that come first by hash; at most `lists` centroids."""
-    rows = vectors.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).select("v").toArrow()
+    """Spherical k-means on the SAMPLE vectors, or SAMPLE_A_LIST a list, that come first by hash; at most `lists` centroids."""
+    rows = vectors.orderBy(F.xxhash64("id", "v"), "id").limit(max(SAMPLE, SAMPLE_A_LIST * lists)).select("v").toArrow()
     x = _unit(_matrix(rows.column(0), dim))
     start = np.unique(x, axis=0)
     start = start[np.random.default_rng(seed).permutation(len(start))[:lists]]
@@ -74,7 +76,7 @@ def fit_centroids(vectors: DataFrame, dim: int, lists: int, seed: int = SEED, ro
     return centroids
 
 
-def _scan(q_ids, q, v_ids, v, rotation, k: int):
+def _scan(q_ids, q, v_ids, v, rotation, k: int, epsilon: float = EPSILON):
     """(query id, vector id, exact cosine) of at least each query's k best of the vectors; v_ids in order."""
     dim = q.shape[1]
     qr, vr = (_unit(q) @ rotation).astype(np.float32), (_unit(v) @ rotation).astype(np.float32)
@@ -94,7 +96,7 @@ def _scan(q_ids, q, v_ids, v, rotation, k: int):
             else:
                 diff = qr[i, cols] - panel[j, cols]
                 part = part + np.einsum("ij,ij->i", diff, diff)
-            limit = best[:, -1] * (1 + EPSILON / np.sqrt(d)) ** 2 * d / dim if d < dim else best[:, -1]
+            limit = best[:, -1] * (1 + epsilon / np.sqrt(d)) ** 2 * d / dim if d < dim else best[:, -1]
             if i is None:
                 i, j = np.nonzero(np.isfinite(partial) & (partial <= limit[:, None] + SLACK))
                 part = partial[i, j]
@@ -126,8 +128,10 @@ def _scan(q_ids, q, v_ids, v, rotation, k: int):
     return q_ids[i[top]], v_ids[j[top]], score[top]
 
 
-def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, seed: int = SEED) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found for each row where `is_query` (a Column of `id`) holds."""
+def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, seed: int = SEED, probe_share: float = PROBE_SHARE, exact: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest found for each row where `is_query` (a Column of `id`) holds.
+
+    `probe_share` of the lists are probed; `exact` probes all and gives no candidate up early."""
     import pyarrow as pa
 
     spark = vectors.sparkSession
@@ -136,10 +140,11 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     if not dim:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     total = rows.count()
-    lists = max(1, min(LISTS, total // VECTORS_A_LIST))
+    lists = max(1, min(MOST_LISTS, int(total**0.5)))
     centroids = fit_centroids(rows, dim, lists, seed)
     lists = len(centroids)
-    probes = min(lists, max(int(np.ceil(PROBE_SHARE * lists)), LEAST_PROBES))
+    probes = lists if exact else min(lists, max(int(np.ceil(probe_share * lists)), LEAST_PROBES))
+    epsilon = np.inf if exact else EPSILON
     rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))[0]
     sent = spark.sparkContext.broadcast((centroids, rotation))
 
@@ -169,7 +174,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
             order = np.argsort(v_ids, kind="stable")
             v_ids, v = v_ids[order], v[order]
             for at in range(0, len(q), 256):
-                for have, new in zip(out, _scan(q_ids[at : at + 256], q[at : at + 256], v_ids, v, sent.value[1], k)):
+                for have, new in zip(out, _scan(q_ids[at : at + 256], q[at : at + 256], v_ids, v, sent.value[1], k, epsilon)):
                     have.append(new)
         columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
