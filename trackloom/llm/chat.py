@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import cut_lineage, read_table
 
 STRETCH = 256
 
@@ -74,7 +74,7 @@ def render(numbered: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    numbered = numbered_turns(turns)
+    numbered = cut_lineage(numbered_turns(turns))  # read three times
     return render(numbered, maximal_conversations(numbered))
 
 
