@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import os
 import random
 import re
 
@@ -297,6 +298,39 @@ def test_classifier_separates_and_ignores_held_out_labels(spark):
     assert all(abs(again[i] - found[i].score) < 1e-9 for i in range(400))
 
 
+def test_moments_and_scores_equal_brute_force(spark):
+    """Against two Gaussian densities written out with inverse and determinant, from rows in another order and number of parts."""
+    rng = np.random.default_rng(6)
+    m = len(quality_qda.FEATURES)
+    x = np.rint(rng.gamma(2.0, 1.0, (900, m)) * quality_qda.STEPS) / quality_qda.STEPS
+    y = (x[:, 0] + x[:, 3] * x[:, 5] > 4).astype(int)
+    fold = rng.integers(0, 2, 900) * quality_qda.TUNING
+    rows = [(r.tolist(), int(c), int(f)) for r, c, f in zip(x, y, fold)]
+    df = spark.createDataFrame(rows, "x array<double>, y long, fold int")
+    moments = quality_qda.class_moments(df.repartition(7))
+    assert all((a == b).all() for a, b in zip(moments.values(), quality_qda.class_moments(df.orderBy("y").coalesce(2)).values()))
+    for (c, t), s in moments.items():
+        own = np.hstack([np.ones((900, 1)), x])[(y == c) & ((fold == quality_qda.TUNING) == t)]
+        assert np.abs(s - own.T @ own).max() < 1e-6
+    model = quality_qda.Discriminant.fit([moments[c, False] + moments[c, True] for c in (0, 1)], 0.3)
+    spread = [np.cov(x[y == c].T, bias=True) for c in (0, 1)]
+    n = [(y == c).sum() for c in (0, 1)]
+    pooled = (n[0] * spread[0] + n[1] * spread[1]) / 900
+    densities = []
+    for c in (0, 1):
+        cov = (1 - quality_qda.RIDGE) * (0.7 * spread[c] + 0.3 * pooled) + quality_qda.RIDGE * np.eye(m) * np.trace(pooled) / m
+        away = x - x[y == c].mean(axis=0)
+        densities.append(-0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(cov), away) - 0.5 * np.linalg.slogdet(cov)[1] + np.log(n[c] / 900))
+    assert np.abs(model.margin(x) - (densities[1] - densities[0])).max() < 1e-4
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
+def test_held_out_labels_are_met(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rows = [r for r in quality_qda.query(spark, "/root/testdata/sf0.01").collect() if r.held_out and labels.get(r.doc_id) in (0, 1)]
+    assert len(rows) > 50 and sum(r.predicted == labels[r.doc_id] for r in rows) >= 0.95 * len(rows)
+
+
 def test_classifier_edges(spark, docs):
     labels = spark.createDataFrame([(1, 1), (2, None), (3, 7)], "doc_id long, quality int")
     rows = quality_qda.score_documents(docs, labels).collect()

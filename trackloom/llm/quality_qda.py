@@ -5,7 +5,8 @@ covariance that is shrunk towards the pooled one and towards a multiple of the i
 difference of the classes' log densities (Mahalanobis distances by cached Cholesky factors) plus the log prior, divided by
 a temperature. Shrinkage and temperature are chosen by log loss on a quarter of the training rows (crc32 mod 4 = 3).
 
-Moments are sums over all training rows, so that training is one distributed aggregation of fixed size; labels, lang,
+Moments are sums over all training rows, so that training is one distributed aggregation of fixed size. They are added as
+whole numbers, and scores are rounded to 12 decimals, so that reruns over other partitions agree; labels, lang,
 source and doc_id are no features, and rows whose crc32(doc_id as text) mod 4 is 2 are never learnt from.
 
 Defined results
@@ -31,7 +32,9 @@ RIDGE = 0.02
 TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0)
 ACCEPT = 0.7
 HELD_OUT, TUNING = 2, 3
-_PIECE = 1 << 20
+_PIECE = 1 << 18
+#: Statistics are rounded to so many steps a unit, so that sums of their products are exact, whatever the order of adding (up to 2^53 steps^2 a task).
+STEPS = 1 << 12
 
 FEATURES = (
     "log_words", "log_word_length", "adjacent_repeats", "other_words", "repeated_pairs", "upper_share", "symbol_share",
@@ -94,7 +97,7 @@ def document_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         np.sqrt(_count(_COMMA[data], offsets) / some),
     ], axis=1)
     out[size == 0] = 0
-    return out
+    return np.rint(out * STEPS) / STEPS
 
 
 def feature_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -135,12 +138,13 @@ def class_moments(labelled: DataFrame) -> dict[tuple[int, bool], np.ndarray]:
                     part = x[(y == c) & (tuning == t)]
                     sums[c, t] = sums.get((c, t), 0) + part.T @ part
         for (c, t), s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m * m, c)), pa.array(np.full(m * m, t)), pa.array(np.arange(m * m)), pa.array(s.reshape(-1))], ["y", "t", "k", "s"])
+            whole = np.rint(s.reshape(-1) * STEPS**2).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m * m, c)), pa.array(np.full(m * m, t)), pa.array(np.arange(m * m)), pa.array(whole)], ["y", "t", "k", "s"])
 
-    parts = labelled.select("x", "y", "fold").mapInArrow(run, "y bigint, t boolean, k bigint, s double")
+    parts = labelled.select("x", "y", "fold").mapInArrow(run, "y bigint, t boolean, k bigint, s bigint")
     found = {(c, t): np.zeros(m * m) for c in (0, 1) for t in (False, True)}
-    for r in parts.groupBy("y", "t", "k").agg(F.sum("s").alias("s")).collect():
-        found[r["y"], r["t"]][r["k"]] = r["s"]
+    for r in parts.groupBy("y", "t", "k").agg(F.sum(F.col("s").cast("decimal(38,0)")).alias("s")).collect():
+        found[r["y"], r["t"]][r["k"]] = float(r["s"]) / STEPS**2
     return {k: v.reshape(m, m) for k, v in found.items()}
 
 
@@ -203,7 +207,7 @@ def train(labelled: DataFrame) -> tuple[Discriminant | None, float, float]:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(loss.size)), pa.array(loss.reshape(-1))], ["k", "loss"])
 
         parts = labelled.filter(F.col("fold") == TUNING).select("x", "y").mapInArrow(run, "k bigint, loss double")
-        rows = parts.groupBy("k").agg(F.sum("loss").alias("loss")).collect()
+        rows = parts.groupBy("k").agg(F.sum(F.col("loss").cast("decimal(38,9)")).alias("loss")).collect()
         best = min(rows, key=lambda r: (round(r["loss"], 6), r["k"]))["k"]
         shrink, temperature = SHRINKAGE[best // len(TEMPERATURES)], TEMPERATURES[best % len(TEMPERATURES)]
     return Discriminant.fit(whole, shrink), temperature, 0.5
@@ -221,7 +225,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text",
     def run(batches):
         for batch in batches:
             p = _logistic(model.margin(_x(batch.column(1))) / temperature) if model else np.full(batch.num_rows, without)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p)], ["doc_id", "fold", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.round(p, 12))], ["doc_id", "fold", "score"])
 
     scored = features.select("doc_id", "x", "fold").mapInArrow(run, "doc_id bigint, fold int, score double")
     return scored.select("doc_id", (F.col("fold") == HELD_OUT).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
