@@ -180,12 +180,12 @@ def leader_clusters(anchors: DataFrame, track: str, radius_m: float = 120.0) ->
                 if near is None or d < near:
                     best, near = region, d
             if best is None or near > radius_m:
-                best = {"rows": [], "lat": 0.0, "lon": 0.0, "n": 0, "age": len(regions)}
+                best = {"rows": [], "sum_lat": 0.0, "sum_lon": 0.0, "age": len(regions)}
                 regions.append(best)
             best["rows"].append(r)
             n = len(best["rows"])
-            best["lat"] = math.fsum(x["latitude"] for x in best["rows"]) / n
-            best["lon"] = math.fsum(x["longitude"] for x in best["rows"]) / n
+            best["sum_lat"], best["sum_lon"] = best["sum_lat"] + r["latitude"], best["sum_lon"] + r["longitude"]
+            best["lat"], best["lon"] = best["sum_lat"] / n, best["sum_lon"] / n
 
         def middle(region):
             c = sorted(x["confidence"] or 0.0 for x in region["rows"])
@@ -218,6 +218,8 @@ def track_components(nodes: DataFrame, edges: DataFrame, track: str, order: str)
         if not folder:
             import tempfile
 
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="trackloom-")
         spark.sparkContext.setCheckpointDir(folder)
     both = edges.select(track, F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(track, F.col("b").alias("u"), F.col("a").alias("v"))).distinct()

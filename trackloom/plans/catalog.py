@@ -869,6 +869,43 @@ def refilter_no_clock(spark, sf_dir):
     return _r(track.filter_tracks(filter_input(spark, sf_dir), "track", "frame", "frame", track.FilterConfig(advance_on_hold=False)), _FILTERED)
 
 
+_LOOKED_UP_SQL = f"""{PREDICTIONS_SQL}, i as (select frame as rf, matched_flight as rm, latitude as rla, longitude as rlo from p where frame % 3 <> 0),
+j as (select p.*, rf, rm, rla, rlo from p left join i on rf = p.frame + 1),
+v as (select track, frame, query_time_s, rla as latitude, rlo as longitude, rm as matched_flight, inliers, 1e0 as ratio, case when good < 12 then 'not_enough_good_matches' when inliers < 12 then 'not_enough_inliers' else 'accepted' end as g,
+  1.35e0 * ln(1 + inliers) + 0.45e0 * ln(1 + good) + 1.10e0 * similarity + 1.25e0 as vis from j where rf is not null)"""
+
+
+@query(
+    "derive_target",
+    _filter_sql(_LOOKED_UP_SQL, "v", "frame", "query_time_s", "frame", True, False).replace("select track, out.fr as frame,", "select track, out.fr as frame, 'center' as prediction_target,").replace(
+        "round(out.t, 3) as query_time_s, round(out.la, 7) as filtered_latitude, round(out.lo, 7) as filtered_longitude,", "round(out.la, 7) as pred_latitude, round(out.lo, 7) as pred_longitude,").split("\n  round(out.d")[0].rstrip(",")
+    + " from w where rn > 0 union all select track, frame, 'center', null, null, false, 'missing_reference_match' from j where rf is null",
+)
+def derive_target(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    index = p.filter("frame % 3 <> 0").select(F.col("matched_flight").alias("flight_id"), F.col("frame").alias("frame_index"), F.col("frame").alias("ref_index"), F.col("latitude").alias("center_lat"), F.col("longitude").alias("center_lon"), F.col("latitude").alias("drone_lat"), F.col("longitude").alias("drone_lon"))
+    rows = p.select("track", "frame", "query_time_s", F.concat(F.lit("f"), ((F.col("frame") + 1) % 3).cast("string")).alias("matched_reference_flight"), (F.col("frame") + 1).alias("matched_reference_frame_index"),
+                    F.col("good").alias("orb_good_matches"), F.col("inliers").alias("homography_inliers"), F.col("similarity").alias("retrieval_similarity"))
+    out = pipelines.derive_target(rows, index, "track", "frame", "frame")
+    return _r(out.select("track", "frame", "prediction_target", "pred_latitude", "pred_longitude", "filter_accepted", "filter_reason"), {"pred_latitude": 7, "pred_longitude": 7})
+
+
+@query(
+    "merge_region_reruns",
+    f"""with {_CONTEXT_SQL}, even as (select * from n where frame % 2 = 0), odd as (select *, frame - 1 as bf from z where frame % 2 = 1 and accepted),
+kk as (select o.bf, o.latitude as rla, o.confidence as rc, row_number() over (partition by o.bf order by o.confidence desc, o.frame) as rk from odd o join even e on e.frame = o.bf where not e.anchor and (o.cell_id = e.pc or o.cell_id = e.nc)),
+jj as (select e.*, kk.rla, kk.rc, kk.bf is not null and (not e.accepted or kk.rc >= e.confidence + 0.5) as rep from even e left join kk on kk.bf = e.frame and kk.rk = 1)
+select frame, round(case when rep then rla else latitude end, 8) as latitude, round(case when rep then rc else confidence end, 6) as confidence, rep as replaced from jj""",
+)
+def merge_region_reruns(spark, sf_dir):
+    d = windows.context_regions(_with_cells(spark, sf_dir), "anchor", "cell_id", "track", TRACK_ORDER)
+    base = d.filter("frame % 2 = 0")
+    plan = base.select("frame", (~F.col("anchor")).alias("will_rerun"), "context_regions")
+    reruns = d.filter("frame % 2 = 1").select((F.col("frame") - 1).alias("frame"), F.col("frame").alias("rerun_order"), "cell_id", "latitude", "longitude", "accepted", "confidence")
+    out = pipelines.merge_region_reruns(base.select("frame", "latitude", "longitude", "accepted", "confidence"), plan, reruns, "frame", "cell_id", "context_regions", ["latitude", "longitude"])
+    return _r(out.select("frame", "latitude", "confidence", "replaced"), {"latitude": 8, "confidence": 6})
+
+
 # -- merging -------------------------------------------------------------------------------------------------------------
 
 
@@ -1033,7 +1070,8 @@ def localize_tracks(spark, sf_dir):
 
 def _plan(spark, sf_dir):
     p = scored(spark, sf_dir).select("track", "frame", "query_time_s", "latitude", "longitude", "accepted", "confidence", "anchor")
-    reference = p.filter("frame % 3 = 0").select(F.col("frame").alias("ref_index"), "latitude", "longitude")
+    lat, lon = F.lit(32.10) + F.lit(0.005) * F.sin(F.col("vec_id") * F.lit(1.7)), F.lit(35.20) + F.lit(0.005) * F.cos(F.col("vec_id") * F.lit(2.3))
+    reference = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ref_index"), lat.alias("latitude"), lon.alias("longitude"))
     return p, *pipelines.repair_plan(p, reference, ORIGIN)
 
 
