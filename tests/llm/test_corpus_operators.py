@@ -115,14 +115,14 @@ def test_near_duplicates_edges(spark):
 
 def test_texts_of_one_id_are_kept_apart(spark):
     long = " ".join(f"x{k}" for k in range(60))
-    rows = [(5, "one two three four five six", "p"), (5, long, "q"), (5, long, "q"), (7, long + " y", "r"), (8, "one two three four five six", "s"), (9, " ", "t"), (9, " ", "t"), (None, long, "u")]
+    rows = [(5, "one two three four five six", "p"), (5, long, "q"), (5, long, "q"), (7, long + " y", "r"), (8, "one two three four five six", "s"), (9, " ", "t"), (9, " ", "t"), (9, "", "v"), (None, long, "u")]
     df = spark.createDataFrame(rows, "doc_id long, text string, _kept string").withColumn("row", F.lit(1)).withColumn("f1", F.lit(2)).withColumn("id", F.lit(3))
     for parts in (1, 5):
         kept = ngram_join.keep_one_each(df.repartition(parts))
         assert kept.columns == df.columns
-        assert sorted((r.doc_id or 0, r._kept) for r in kept.collect()) == [(0, "u"), (5, "p"), (5, "q"), (9, "t")]
+        assert sorted((r.doc_id or 0, r._kept) for r in kept.collect()) == [(0, "u"), (5, "p"), (5, "q"), (9, "t"), (9, "v")]
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join.similar_documents(df).collect())
-    assert got == [(0, 56, 0), (5, 2, 5), (5, 56, 5), (5, 56, 5), (7, 57, 5), (8, 2, 5), (9, 0, 9), (9, 0, 9)]
+    assert got == [(0, 56, 0), (5, 2, 5), (5, 56, 5), (5, 56, 5), (7, 57, 5), (8, 2, 5), (9, 0, 9), (9, 0, 9), (9, 0, 9)]
 
 
 def test_prefix_length_is_enough():

@@ -499,7 +499,8 @@ def keep_one_each(docs: DataFrame, text_col: str = "text", words: int = WORDS, s
     alone = rows.filter("id is null")
     kept = rows.filter("id is not null").join(first, (F.col("id") == F.col("kept_id")) & (F.col("f1") == F.col("kept_set")), "left")
     kept = kept.filter("f1 = 0 or kept_id is not null")  # 0: no shingles
-    kept = kept.groupBy("id", "f1").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    whole_row = F.xxhash64("row")
+    kept = kept.groupBy("id", "f1", F.when(F.col("f1") == 0, whole_row).alias("other")).agg(F.min_by("row", whole_row).alias("row"))
     return kept.select("row.*").unionByName(alone.select("row.*"))
 
 
