@@ -211,3 +211,16 @@ def test_stream_equals_batch(spark, tmp_path):
     run.awaitTermination(90)
     got = {(r.track, r.frame): (round(r.filtered_latitude, 9), r.filter_reason) for r in spark.sql("select * from filtered").collect() if r.track != "end"}
     assert got == want
+
+
+def test_decimals_are_rounded_by_the_exact_value(spark):
+    import random
+
+    from pyspark.sql import functions as F
+    from trackloom.sources import kml
+
+    rng = random.Random(6)
+    values = [float(f"{rng.choice(['', '-'])}{rng.choice([0, 1, 32, 179])}.{rng.randrange(10**8):08d}5") for _ in range(400)]
+    values += [k / 512 for k in range(-40, 40)] + [k / 16 for k in range(9)] + [0.999999995, -0.999999995, 5e-9, 1.5e-8, 0.0, 32.1, 1e12 + 0.5]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", kml.fixed(F.col("v"), 8).alias("a"), kml.fixed(F.col("v"), 3).alias("b")).collect()
+    assert [(r.a, r.b) for r in rows] == [("%.8f" % r.v, "%.3f" % r.v) for r in rows]

@@ -15,9 +15,28 @@ def xml_text(c) -> Column:
     return c
 
 
+def fixed(c: Column, places: int) -> Column:
+    """A number with so many decimals, rounded by its exact binary value, ties to even, as C's printf does. (Java's rounds the shortest
+    decimal that reads back as the number, so that 0.5 of the last place always goes up.)"""
+    scale, x = 2.0 * 10**places, F.abs(c)
+    f = x - F.floor(x)  # exact, like what follows: pieces of 26 bits times a scale of 19 bits and a power of two
+    n = F.rint(f * scale)
+    over = (F.floor(f * 2.0**26) / 2.0**26) * scale - n
+    rest = f * 2.0**26 - F.floor(f * 2.0**26)
+    over = over + F.floor(rest * 2.0**26) / 2.0**52 * scale
+    over = over + (rest * 2.0**26 - F.floor(rest * 2.0**26)) / 2.0**52 * scale
+    below = F.floor((n - 1) / 2).cast("long")  # for an even n the number before
+    up = (n % 2 == 0) | (over > 0) | ((over == 0) & (below % 2 == 1))  # an even n is the nearest number itself, an odd one a tie
+    k = below + F.when(up, 1).otherwise(0)
+    whole = F.floor(x).cast("long") + F.when(k == 10**places, 1).otherwise(0)
+    exact = F.concat(F.when(c < 0, "-").otherwise(""), whole.cast("string"), F.lit("."), F.lpad((k % 10**places).cast("string"), places, "0"))
+    return F.when((x > 0) & (x < 2.0**53), exact).otherwise(F.format_string(f"%.{places}f", c))
+
+
 def coordinate(lon, lat, alt) -> Column:
     """lon,lat,alt with eight, eight and three decimals; a null altitude is 0."""
-    return F.format_string("%.8f,%.8f,%.3f", F.col(lon), F.col(lat), F.coalesce(F.col(alt), F.lit(0.0)) if isinstance(alt, str) else alt)
+    alt = F.coalesce(F.col(alt).cast("double"), F.lit(0.0)) if isinstance(alt, str) else alt
+    return F.concat_ws(",", fixed(F.col(lon), 8), fixed(F.col(lat), 8), fixed(alt, 3))
 
 
 def path_lines(points: DataFrame, path: str, order: list[str], alt: str | None = None) -> DataFrame:
