@@ -113,3 +113,13 @@ def test_distance_to_the_nearest_listed_region(spark):
     got = {r.i: r.d for r in df.select("i", scalars.nearest_listed_distance("lat", "lon", "ids", centers).alias("d")).collect()}
     metre = math.radians(0.001) * 6_371_000
     assert got[2] is None and got[3] is None and abs(got[1] - metre) < 1e-6 and abs(got[4] - 3 * metre) < 1e-6
+
+
+def test_radii_are_counted_rung_by_rung(spark):
+    from trackloom.operators import joins
+
+    xy = [(i, float(i % 40 * 5), float(i // 40 * 5)) for i in range(800)]
+    points = spark.createDataFrame([*xy, (900, None, 1.0)], "p long, east_m double, north_m double")
+    targets = spark.createDataFrame([(0, 1, 100.0, 50.0), (1, 1, 101.0, 50.0), (2, 2, 0.0, 0.0), (3, 3, 900.0, 0.0), (4, 4, None, 0.0), (5, None, 50.0, 50.0)], "t long, g long, east_m double, north_m double")
+    once, rungs = (sorted(map(str, joins.count_by_radius(points, targets, "g", "t", "p", [20.0, 30.0, 45.0], 30, by_rungs=x).collect())) for x in (False, True))
+    assert rungs == once and "radius_m=30.0" in "".join(once) and "radius_m=20.0" in "".join(once)

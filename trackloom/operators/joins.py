@@ -199,8 +199,14 @@ def near_any(points: DataFrame, targets: DataFrame, radius_m: float, target_id:
     return points.join(hits, point_id, "left_semi")
 
 
-def count_by_radius(points: DataFrame, targets: DataFrame, group: str, target_id: str, point_id: str, ladder: list[float], least: int) -> DataFrame:
-    """For each group of targets the points near any of its targets, by the first radius of the ladder with at least `least` (else the last)."""
+def count_by_radius(points: DataFrame, targets: DataFrame, group: str, target_id: str, point_id: str, ladder: list[float], least: int, by_rungs: bool = False) -> DataFrame:
+    """For each group of targets the points near any of its targets, by the first radius of the ladder with at least `least` (else the last).
+
+    `by_rungs` counts one radius after the other, each checkpointed at once, and takes to the next only the groups that need it: where the
+    first radius is mostly enough, pairs up to the last one are never made. Else all is one lazy plan.
+    """
+    if by_rungs:
+        return _count_by_rungs(points.select(point_id, "east_m", "north_m"), targets.select(group, "east_m", "north_m"), group, point_id, ladder, least)
     t = targets.select(F.col(target_id), F.col(group), "east_m", "north_m")
     pairs = within_radius(points.select(point_id, "east_m", "north_m"), t.drop(group), max(ladder), target_id).join(t.select(target_id, group), target_id)
     near = pairs.groupBy(group, point_id).agg(F.min("distance_m").alias("d"))
@@ -209,6 +215,35 @@ def count_by_radius(points: DataFrame, targets: DataFrame, group: str, target_id
     return _first_rung(groups.join(counted, group, "left"), [group], ladder, least, "radius_m", "reference_count")
 
 
+def checkpoint_folder(spark) -> None:
+    """See that checkpoints go to the folder that all executors share."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            import tempfile
+
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="trackloom-")
+        spark.sparkContext.setCheckpointDir(folder)
+
+
+def _count_by_rungs(points: DataFrame, targets: DataFrame, group: str, point_id: str, ladder: list[float], least: int) -> DataFrame:
+    checkpoint_folder(points.sparkSession)
+    left, found = targets.select(group).distinct(), None
+    for i, radius in enumerate(ladder):
+        near = within_radius(points, targets, radius, group).select(group, point_id).distinct()
+        counted = near.groupBy(group).agg(F.count(F.lit(1)).alias("reference_count"))
+        rung = left.join(counted, group, "left").select(group, F.lit(float(radius)).alias("radius_m"), F.coalesce("reference_count", F.lit(0)).cast("long").alias("reference_count")).checkpoint()
+        done = rung if i == len(ladder) - 1 else rung.filter(F.col("reference_count") >= least)
+        found = done if found is None else found.unionByName(done)
+        left = rung.filter(F.col("reference_count") < least).select(group)
+        if i < len(ladder) - 1 and left.isEmpty():
+            break
+        targets = targets.join(left, group, "left_semi")
+    return found
+
+
 def pairs_in_track(seeds: DataFrame, track: str, order: str, most_m: float, most_mps: float, rank_gap: int | None = None) -> DataFrame:
     """Pairs (i < j by `order`) of one track that a body could have passed: near enough, and slow enough where time passes.
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import pairs_in_track
+from .joins import checkpoint_folder, pairs_in_track
 from .track import _distance
 
 
@@ -212,16 +212,7 @@ def regions_of(clustered: DataFrame, track: str) -> DataFrame:
 def track_components(nodes: DataFrame, edges: DataFrame, track: str, order: str) -> DataFrame:
     """nodes with component: the smallest order of the component within its track. Rounds of minimum labels with pointer jumping, each
     written to the checkpoint folder."""
-    spark = nodes.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="trackloom-")
-        spark.sparkContext.setCheckpointDir(folder)
+    checkpoint_folder(nodes.sparkSession)
     both = edges.select(track, F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(track, F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
     both = both.checkpoint()
     label = nodes.select(track, F.col(order).alias("u"), F.col(order).alias("l")).distinct().checkpoint()
