@@ -10,8 +10,10 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from ..functions.geo import haversine_m, local_xy, speed_mps
+from . import discs
 
 
 #: Rows of both sides from which a key is read in slices of time, and the number of slices.
@@ -199,24 +201,69 @@ def near_any(points: DataFrame, targets: DataFrame, radius_m: float, target_id:
     return points.join(hits, point_id, "left_semi")
 
 
+#: Points, and targets, of a tile that are counted in one piece.
+TILE_ROWS = 1 << 19
+
+
+def _group_key(df: DataFrame, group: str) -> Column:
+    """A key that tells groups apart and that Arrow can encode, equal for nulls."""
+    kind = df.schema[group].dataType
+    return F.col(group) if isinstance(kind, (IntegralType, StringType)) else F.to_json(F.struct(group))
+
+
+def _places(points: DataFrame, point_id: str) -> DataFrame:
+    """The points with finite places, each id once with its least and its greatest place."""
+    finite = points.filter((F.abs("east_m") < float("inf")) & (F.abs("north_m") < float("inf")))
+    at = F.struct(F.col("east_m").alias("x"), F.col("north_m").alias("y"))
+    return finite.groupBy(point_id).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+
+
+def _disc_counts(points: DataFrame, places: DataFrame, targets: DataFrame, group: str, point_id: str, radii: list[float]) -> DataFrame:
+    """(_key, _h0, _h1, ...): points near any target of a group, by radius; groups without any are absent. `places` are those of `points`.
+
+    Points lie in tiles, targets in all tiles that they reach. Tiles with many rows are cut into blocks of points times blocks of groups. Ids
+    with several places are joined as pairs, so that each counts once.
+    """
+    widest = max(radii)
+    side, reach = 4 * widest, widest * (1 + 1e-6)
+    tile = lambda c: F.floor(c / side).cast("long")
+    t = targets.withColumn("_key", _group_key(targets, group)).select("_key", F.col("east_m").alias("x"), F.col("north_m").alias("y")).filter((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+    p = places.filter("_lo = _hi").select(F.col("_lo.x").alias("x"), F.col("_lo.y").alias("y")).withColumns({"i": tile(F.col("x")), "j": tile(F.col("y"))})
+    for name, c in (("i", "x"), ("j", "y")):
+        t = t.withColumn(name, F.explode(F.sequence(tile(F.col(c) - reach), tile(F.col(c) + reach))))
+    rows = p.select("i", "j", F.lit(True).alias("is_point"), F.lit(None).cast(t.schema["_key"].dataType).alias("key"), "x", "y").unionByName(t.select("i", "j", F.lit(False).alias("is_point"), F.col("_key").alias("key"), "x", "y"))
+    pieces = lambda of: F.ceil(F.count_if(of) / TILE_ROWS).cast("long")
+    wide = rows.groupBy("i", "j").agg(pieces(F.col("is_point")).alias("_p"), pieces(~F.col("is_point")).alias("_t")).filter("_p > 1 or _t > 1")
+    rows = rows.join(wide, ["i", "j"], "left").withColumns({"_p": F.greatest(F.coalesce("_p", F.lit(1)), F.lit(1)), "_t": F.greatest(F.coalesce("_t", F.lit(1)), F.lit(1))})
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    rows = rows.withColumn("block", F.explode(F.when(F.col("is_point"), F.array(F.pmod(F.xxhash64("x", "y"), F.col("_p")))).otherwise(every(F.col("_p")))))
+    rows = rows.withColumn("other", F.explode(F.when(F.col("is_point"), every(F.col("_t"))).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("_t"))))))
+    rows = rows.select("i", "j", "block", "other", "is_point", "key", "x", "y").repartition("i", "j", "block", "other").sortWithinPartitions("i", "j", "block", "other", F.desc("is_point"))
+    kind = t.schema["_key"].dataType.simpleString()
+    counted = rows.mapInArrow(lambda batches: discs.tiles(batches, radii), f"key {kind}, counts array<bigint>")
+    # ids with several places
+    several = points.join(places.filter("_lo <> _hi").select(F.col(point_id).alias("_p")), F.col(point_id).eqNullSafe(F.col("_p")), "left_semi")
+    near = within_radius(several, t.select(F.struct("_key").alias("_k"), F.col("x").alias("east_m"), F.col("y").alias("north_m")), widest, "_k").groupBy("_k", point_id).agg(F.min("distance_m").alias("d"))
+    near = near.select(F.col("_k._key").alias("key"), F.array(*[F.when(F.col("d") <= r, 1).otherwise(0).cast("long") for r in radii]).alias("counts"))
+    return counted.unionByName(near).groupBy(F.col("key").alias("_key")).agg(*[F.sum(F.col("counts")[i]).alias(f"_h{i}") for i in range(len(radii))])
+
+
 def count_by_radius(points: DataFrame, targets: DataFrame, group: str, target_id: str, point_id: str, ladder: list[float], least: int, by_rungs: bool = False) -> DataFrame:
     """For each group of targets the points near any of its targets, by the first radius of the ladder with at least `least` (else the last).
 
-    `by_rungs` counts one radius after the other, each checkpointed at once, and takes to the next only the groups that need it: where the
-    first radius is mostly enough, pairs up to the last one are never made. Else all is one lazy plan.
+    Pairs never become rows (see discs). `by_rungs` counts one radius after the other, each written at once, and takes to the next only the
+    groups that need it. Else all is one lazy plan.
     """
+    p, t = points.select(point_id, "east_m", "north_m"), targets.select(group, "east_m", "north_m")
     if by_rungs:
-        return _count_by_rungs(points.select(point_id, "east_m", "north_m"), targets.select(group, "east_m", "north_m"), group, point_id, ladder, least)
-    t = targets.select(F.col(target_id), F.col(group), "east_m", "north_m")
-    pairs = within_radius(points.select(point_id, "east_m", "north_m"), t.drop(group), max(ladder), target_id).join(t.select(target_id, group), target_id)
-    near = pairs.groupBy(group, point_id).agg(F.min("distance_m").alias("d"))
-    counted = near.groupBy(group).agg(*[F.count_if(F.col("d") <= r).alias(f"_h{i}") for i, r in enumerate(ladder)])
-    groups = targets.select(group).distinct()
-    return _first_rung(groups.join(counted, group, "left"), [group], ladder, least, "radius_m", "reference_count")
+        return _count_by_rungs(p, t, group, point_id, ladder, least)
+    counted = _disc_counts(p, _places(p, point_id), t, group, point_id, ladder)
+    groups = t.select(group).distinct().withColumn("_own", _group_key(t, group))
+    return _first_rung(groups.join(counted, F.col("_own").eqNullSafe(F.col("_key")), "left"), [group], ladder, least, "radius_m", "reference_count")
 
 
-def checkpoint_folder(spark) -> None:
-    """See that checkpoints go to the folder that all executors share."""
+def checkpoint_folder(spark) -> str:
+    """The folder of checkpoints, one that all executors share."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
@@ -226,22 +273,32 @@ def checkpoint_folder(spark) -> None:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="trackloom-")
         spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table, written once to the checkpoint folder and read back: later steps neither repeat the work nor carry its plan."""
+    import uuid
+
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _count_by_rungs(points: DataFrame, targets: DataFrame, group: str, point_id: str, ladder: list[float], least: int) -> DataFrame:
-    checkpoint_folder(points.sparkSession)
-    left, found = targets.select(group).distinct(), None
+    places = written(_places(points, point_id))
+    left, found = targets.select(group).distinct().withColumn("_own", _group_key(targets, group)), None
     for i, radius in enumerate(ladder):
-        near = within_radius(points, targets, radius, group).select(group, point_id).distinct()
-        counted = near.groupBy(group).agg(F.count(F.lit(1)).alias("reference_count"))
-        rung = left.join(counted, group, "left").select(group, F.lit(float(radius)).alias("radius_m"), F.coalesce("reference_count", F.lit(0)).cast("long").alias("reference_count")).checkpoint()
+        counted = _disc_counts(points, places, targets, group, point_id, [radius])
+        rung = left.join(counted, F.col("_own").eqNullSafe(F.col("_key")), "left").select(group, "_own", F.lit(float(radius)).alias("radius_m"), F.coalesce("_h0", F.lit(0)).cast("long").alias("reference_count"))
+        rung = written(rung)
         done = rung if i == len(ladder) - 1 else rung.filter(F.col("reference_count") >= least)
         found = done if found is None else found.unionByName(done)
-        left = rung.filter(F.col("reference_count") < least).select(group)
-        if i < len(ladder) - 1 and left.isEmpty():
+        left = rung.filter(F.col("reference_count") < least).select(group, "_own")
+        if i == len(ladder) - 1 or left.isEmpty():
             break
-        targets = targets.join(left, group, "left_semi")
-    return found
+        targets = targets.join(left.select(F.col("_own").alias("_left")), _group_key(targets, group).eqNullSafe(F.col("_left")), "left_semi")
+    return found.drop("_own")
 
 
 def pairs_in_track(seeds: DataFrame, track: str, order: str, most_m: float, most_mps: float, rank_gap: int | None = None) -> DataFrame:
