@@ -1,7 +1,7 @@
 """Repair of noisy tracks: ordered sweeps, clusters, components of seeds, tail rescue, path windows.
 
 Sweeps change flags while they run from left to right, so that a row sees what was rejected before it in the same sweep;
-they run within one group a track. Pairs and components are joins over all tracks at once.
+they run within one group a track. Pairs are joins over all tracks at once; of a track's pairs only forests meet.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, FractionalType
 
-from .joins import checkpoint_folder, pairs_in_track
+from .joins import pairs_in_track, written
 from .track import _distance
 
 
@@ -42,21 +43,45 @@ def _near(rows: list[dict], i: int, way: int, steps: int | None, flag: str) -> d
     return None
 
 
-def _grouped(df: DataFrame, track: str, order: list[str], columns: list[str], result: str, work) -> DataFrame:
-    """Run `work` on the ordered rows (dicts) of each track; it returns rows with the result columns."""
-    import pandas as pd
-
-    names = [x.split()[0] for x in result.split(", ")]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in (track, *columns))
-    kept = [f.name for f in df.schema.fields if f.name in (track, *columns)]
+#: Rows that are sent on together.
+_SENT = 4096
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable", na_position="first")
-        rows = [{k: None if v is None or v != v else v for k, v in r.items()} for r in pdf.to_dict("records")]
-        return pd.DataFrame(work(rows), columns=[*kept, *[n for n in names if n not in kept]])
 
-    new = ", ".join(x for x in result.split(", ") if x.split()[0] not in kept)
-    return df.select(*kept).groupBy(track).applyInPandas(run, f"{kinds}, {new}" if new else kinds)
+def _grouped(df: DataFrame, track: str, order: list[str], columns: list[str], result: str, work) -> DataFrame:
+    """Run `work` on the ordered rows (dicts, NaN as None) of each track; it returns rows with the result columns. Tracks come one after the
+    other as Spark sorts them, so that a task holds one."""
+    import pyarrow as pa
+
+    kept = [f for f in df.schema.fields if f.name in (track, *columns)]
+    names = [f.name for f in kept]
+    new = [x for x in result.split(", ") if x.split()[0] not in names]
+    added = {x.split()[0]: {"boolean": pa.bool_(), "string": pa.string(), "int": pa.int32()}[x.split()[1]] for x in new}
+    thin = df.select(*[F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) if isinstance(f.dataType, FractionalType) and not isinstance(f.dataType, DecimalType) else F.col(f.name) for f in kept])
+
+    def run(batches):
+        rows, out, types = [], [], dict(added)
+
+        def packed():
+            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], types[n]) for n in (*names, *added)], [*names, *added])
+
+        for batch in batches:
+            types |= dict(zip(names, batch.schema.types))
+            for values in zip(*(c.to_pylist() for c in batch.columns)):
+                row = dict(zip(names, values))
+                if rows and row[track] != rows[-1][track]:
+                    out += work(rows)
+                    rows = []
+                    if len(out) >= _SENT:
+                        yield packed()
+                        out = []
+                rows.append(row)
+        if rows:
+            out += work(rows)
+        if out:
+            yield packed()
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return thin.repartition(track).sortWithinPartitions(track, *order).mapInArrow(run, ", ".join([kinds, *new]))
 
 
 @dataclass(frozen=True)
@@ -132,9 +157,7 @@ class SeedRules:
     sweeps: int = 4
 
 
-def sweep_seeds(df: DataFrame, track: str, order: list[str], rules: SeedRules = SeedRules()) -> DataFrame:
-    """Reject seeds between neighbours that rule them out. In: query_time_s, latitude, longitude, seed_trusted; out: seed_trusted, seed_reason."""
-
+def _seed_sweep(rules: SeedRules):
     def verdict(rows, i):
         r = rows[i]
         a, b = _near(rows, i, -1, rules.context, "seed_trusted"), _near(rows, i, 1, rules.context, "seed_trusted")
@@ -163,7 +186,12 @@ def sweep_seeds(df: DataFrame, track: str, order: list[str], rules: SeedRules =
                 break
         return rows
 
-    return _grouped(df, track, order, [*order, "query_time_s", "latitude", "longitude", "seed_trusted"], "seed_trusted boolean, seed_reason string", work)
+    return work
+
+
+def sweep_seeds(df: DataFrame, track: str, order: list[str], rules: SeedRules = SeedRules()) -> DataFrame:
+    """Reject seeds between neighbours that rule them out. In: query_time_s, latitude, longitude, seed_trusted; out: seed_trusted, seed_reason."""
+    return _grouped(df, track, order, [*order, "query_time_s", "latitude", "longitude", "seed_trusted"], "seed_trusted boolean, seed_reason string", _seed_sweep(rules))
 
 
 def leader_clusters(anchors: DataFrame, track: str, radius_m: float = 120.0) -> DataFrame:
@@ -209,40 +237,72 @@ def regions_of(clustered: DataFrame, track: str) -> DataFrame:
     )
 
 
+#: Nodes of which a task that makes edges keeps a forest at once.
+_FOREST = 1 << 18
+
+
+def _forest(whole: bool):
+    """A task's work on edges (track, a, b): (track, node, root) of a forest, the root the least node. `whole`: edges come sorted by track."""
+    import pyarrow as pa
+
+    def run(batches):
+        roots, n, last, kinds = {}, 0, None, None
+
+        def find(root, x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        def packed():
+            rows = [(t, x, find(root, x)) for t, root in roots.items() for x in root]
+            columns = list(zip(*[r for r in rows if r[1] != r[2]])) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["t", "u", "l"])
+
+        for batch in batches:
+            kinds = batch.schema.types
+            for t, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if n >= _FOREST and (not whole or t != last):
+                    yield packed()
+                    roots, n = {}, 0
+                last, root = t, roots.setdefault(t, {})
+                n -= len(root)
+                root.setdefault(a, a)
+                root.setdefault(b, b)
+                n += len(root)
+                a, b = find(root, a), find(root, b)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+        if roots:
+            yield packed()
+
+    return run
+
+
 def track_components(nodes: DataFrame, edges: DataFrame, track: str, order: str) -> DataFrame:
-    """nodes with component: the smallest order of the component within its track. Rounds of minimum labels with pointer jumping, each
-    written to the checkpoint folder."""
-    checkpoint_folder(nodes.sparkSession)
-    both = edges.select(track, F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(track, F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
-    both = both.checkpoint()
-    label = nodes.select(track, F.col(order).alias("u"), F.col(order).alias("l")).distinct().checkpoint()
-    while True:
-        around = both.join(label.select(track, F.col("u").alias("v"), F.col("l").alias("m")), [track, "v"]).groupBy(track, "u").agg(F.min("m").alias("m"))
-        step = label.join(around, [track, "u"], "left").select(track, "u", F.least("l", F.coalesce("m", "l")).alias("l"), F.col("l").alias("old"))
-        jump = step.select(track, F.col("u").alias("l"), F.col("l").alias("j"))
-        new = step.join(jump, [track, "l"]).select(track, "u", F.least("l", "j").alias("l"), "old").checkpoint()
-        if new.filter("l <> old").isEmpty():
-            break
-        label = new.drop("old")
-    return nodes.join(label.select(track, F.col("u").alias(order), F.col("l").alias("component")), [track, order])
-
-
-def best_component(members: DataFrame, track: str) -> DataFrame:
-    """The component of each track that is largest, then most confident in sum, then longest in time, then earliest."""
-    stats = members.groupBy(track, "component").agg(
-        F.count(F.lit(1)).alias("size"), F.sum("confidence").alias("sum_confidence"), (F.max("query_time_s") - F.min("query_time_s")).alias("span_s"))
-    order = Window.partitionBy(track).orderBy(F.desc("size"), F.desc("sum_confidence"), F.desc("span_s"), "component")
-    return stats.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    """nodes with component: the smallest order of the component within its track. Edges (track, a, b) join nodes. A task that makes edges
+    leaves a forest of them, and the forests of a track meet in one task, so that no round is repeated and nothing is written."""
+    kinds = ", ".join(f"{n} {edges.schema[c].dataType.simpleString()}" for n, c in (("t", track), ("u", "a"), ("l", "b")))
+    known = edges.select(F.col(track).alias("t"), F.col("a").alias("u"), F.col("b").alias("l")).dropna().mapInArrow(_forest(False), kinds)
+    label = known.repartition("t").sortWithinPartitions("t").mapInArrow(_forest(True), kinds).select(F.col("t").alias(track), F.col("u").alias(order), F.col("l").alias("component"))
+    return nodes.dropna(subset=[track, order]).join(label, [track, order], "left").withColumn("component", F.coalesce("component", order))
+
+
+def _with_best(members: DataFrame, track: str) -> DataFrame:
+    """Add component_size, _total (of the track), and _best and _size of the track's best component: the one that is largest, then most
+    confident in sum, then longest in time, then earliest."""
+    own, all_of = Window.partitionBy(track, "component"), Window.partitionBy(track)
+    best = all_of.orderBy(F.desc("component_size"), F.desc("_sum"), F.desc("_span"), "component")
+    found = members.withColumns({
+        "component_size": F.count(F.lit(1)).over(own), "_sum": F.sum("confidence").over(own), "_span": F.max("query_time_s").over(own) - F.min("query_time_s").over(own),
+    })
+    return found.withColumns({"_best": F.first("component").over(best), "_size": F.first("component_size").over(best), "_total": F.count(F.lit(1)).over(all_of)}).drop("_sum", "_span")
 
 
 def keep_dominant(seeds: DataFrame, track: str, order: str, most_m: float = 180.0, most_mps: float = 25.0, least: int = 4) -> DataFrame:
     """Add component, component_size and seed_trusted: a track with fewer than `least` seeds keeps them all, one whose best component is
     smaller than `least` loses all, else the best component stays."""
-    members = track_components(seeds, pairs_in_track(seeds, track, order, most_m, most_mps), track, order)
-    best = best_component(members, track).select(track, F.col("component").alias("_best"), F.col("size").alias("_size"))
-    total = members.groupBy(track).agg(F.count(F.lit(1)).alias("_total"))
-    sizes = members.groupBy(track, "component").agg(F.count(F.lit(1)).alias("component_size"))
-    joined = members.join(sizes, [track, "component"]).join(best, track).join(total, track)
+    joined = _with_best(track_components(seeds, pairs_in_track(seeds, track, order, most_m, most_mps), track, order), track)
     kept = (F.col("_total") < least) | ((F.col("_size") >= least) & (F.col("component") == F.col("_best")))
     return joined.withColumn("seed_trusted", kept).drop("_best", "_size", "_total")
 
@@ -250,21 +310,15 @@ def keep_dominant(seeds: DataFrame, track: str, order: str, most_m: float = 180.
 def keep_supported(seeds: DataFrame, track: str, order: str, most_m: float = 140.0, most_mps: float = 30.0, gap: int = 8, least: int = 4, support: int = 1) -> DataFrame:
     """Add support_count, component and seed_trusted: tracks with fewer than `least` seeds, or a best component below it, lose all; of the
     best component the seeds with at least `support` partners stay."""
-    edges = pairs_in_track(seeds, track, order, most_m, most_mps, gap)
-    members = track_components(seeds, edges, track, order)
+    edges = written(pairs_in_track(seeds, track, order, most_m, most_mps, gap).select(track, "a", "b"))
     ends = edges.select(track, F.col("a").alias(order)).unionAll(edges.select(track, F.col("b").alias(order)))
     degree = ends.groupBy(track, order).agg(F.count(F.lit(1)).alias("support_count"))
-    best = best_component(members, track).select(track, F.col("component").alias("_best"), F.col("size").alias("_size"))
-    total = members.groupBy(track).agg(F.count(F.lit(1)).alias("_total"))
-    joined = members.join(degree, [track, order], "left").withColumn("support_count", F.coalesce("support_count", F.lit(0))).join(best, track).join(total, track)
+    joined = _with_best(track_components(seeds, edges, track, order).join(degree, [track, order], "left"), track).withColumn("support_count", F.coalesce("support_count", F.lit(0)))
     kept = (F.col("_total") >= least) & (F.col("_size") >= least) & (F.col("component") == F.col("_best")) & (F.col("support_count") >= support)
-    return joined.withColumn("seed_trusted", kept).drop("_best", "_size", "_total")
+    return joined.withColumn("seed_trusted", kept).drop("_best", "_size", "_total", "component_size")
 
 
-def rescue_tail(df: DataFrame, track: str, order: list[str], most_m: float = 420.0, most_mps: float = 35.0, gap_s: float = 120.0, least_confidence: float = 8.0, least_points: int = 1) -> DataFrame:
-    """Trust a late chain of rejected seeds again that leads back to the last trusted one. In: query_time_s, latitude, longitude,
-    confidence, initial_seed, seed_trusted; out: seed_trusted, tail_rescued."""
-
+def _tail_rescue(most_m: float = 420.0, most_mps: float = 35.0, gap_s: float = 120.0, least_confidence: float = 8.0, least_points: int = 1):
     def linked(a, b) -> bool:
         d, v = _gap(a, b), _speed(a, b)
         return d is not None and d <= most_m and (v is None or v <= most_mps) and abs(b["query_time_s"] - a["query_time_s"]) <= gap_s
@@ -290,8 +344,21 @@ def rescue_tail(df: DataFrame, track: str, order: list[str], most_m: float = 420
                     r["seed_trusted"] = r["tail_rescued"] = True
         return rows
 
+    return work
+
+
+def rescue_tail(df: DataFrame, track: str, order: list[str], most_m: float = 420.0, most_mps: float = 35.0, gap_s: float = 120.0, least_confidence: float = 8.0, least_points: int = 1) -> DataFrame:
+    """Trust a late chain of rejected seeds again that leads back to the last trusted one. In: query_time_s, latitude, longitude,
+    confidence, initial_seed, seed_trusted; out: seed_trusted, tail_rescued."""
+    columns = [*order, "query_time_s", "latitude", "longitude", "confidence", "initial_seed", "seed_trusted"]
+    return _grouped(df, track, order, columns, "seed_trusted boolean, tail_rescued boolean", _tail_rescue(most_m, most_mps, gap_s, least_confidence, least_points))
+
+
+def rescue_and_sweep(df: DataFrame, track: str, order: list[str]) -> DataFrame:
+    """rescue_tail and then sweep_seeds, in one pass over the tracks."""
     columns = [*order, "query_time_s", "latitude", "longitude", "confidence", "initial_seed", "seed_trusted"]
-    return _grouped(df, track, order, columns, "seed_trusted boolean, tail_rescued boolean", work)
+    rescue, sweep = _tail_rescue(), _seed_sweep(SeedRules())
+    return _grouped(df, track, order, columns, "seed_trusted boolean, tail_rescued boolean, seed_reason string", lambda rows: sweep(rescue(rows)))
 
 
 def path_windows(df: DataFrame, track: str, order: list[str], most_frames: int = 45, spacing_m: float = 120.0) -> DataFrame:
