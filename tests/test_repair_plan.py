@@ -4,7 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from trackloom.operators import repair
+from trackloom.operators import joins, repair
 from trackloom.plans import pipelines
 
 
@@ -49,3 +49,26 @@ def test_a_plan_takes_few_jobs_and_keeps_no_long_plan(spark):
     assert plan._jdf.queryExecution().analyzed().toString().count("parquet") == 2
     assert len(tracker.getJobIdsForGroup("plan")) <= 60
     assert plan.count() == 400 and stats.count() > 0
+
+
+def test_windows_count_references_as_all_pairs_do(spark):
+    rng = random.Random(7)
+    frames = [(t, i, i * 20.0, 32.1 + rng.random() * 0.006, 35.2 + rng.random() * 0.006, True, 9.0, i % 5 == 0) for t in (None, 1, 2) for i in range(60)]
+    frames = [(*r[:3], 32.1 + r[1] * 0.00005, 35.2, *r[5:]) if r[7] else r for r in frames]  # seeds fly straight on
+    predictions = spark.createDataFrame(frames, "track int, frame long, query_time_s double, latitude double, longitude double, accepted boolean, confidence double, anchor boolean")
+    refs = [(i % 280, 32.1 + rng.random() * 0.006, 35.2 + rng.random() * 0.006) for i in range(300)] + [(900, None, 35.2)]
+    reference = spark.createDataFrame(refs, "ref_index long, latitude double, longitude double")
+    plan, stats = pipelines.repair_plan(predictions, reference, (32.1, 35.2), pipelines.PlanConfig(frames=7))
+    # before, the plan of the counts held that of every part several times, too long for the driver to write down
+    assert len(stats._jdf.queryExecution().optimizedPlan().toString()) < 60_000
+    steps = [r for r in plan.filter("path_window_id is not null").select("track", "path_window_id", "east_m", "north_m").collect()]
+    at = [(r.ref_index, r.east_m, r.north_m) for r in joins.with_local_xy(reference, (32.1, 35.2)).dropna().collect()]
+    got = {(r.track, r.path_window_id): (r.local_radius_m, r.reference_count) for r in stats.collect()}
+    assert len(got) > 10 and set(got) == {(r.track, r.path_window_id) for r in steps}
+    for (track, window), found in got.items():
+        own = [(r.east_m, r.north_m) for r in steps if (r.track, r.path_window_id) == (track, window)]
+        for radius in (120.0, 180.0, 260.0):
+            n = len({i for i, x, y in at for u, v in own if ((x - u) ** 2 + (y - v) ** 2) ** 0.5 <= radius})
+            if n >= 100:
+                break
+        assert found == (radius, n)
